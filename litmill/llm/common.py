@@ -9,12 +9,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litmill.session import expose_package
+
 #: Rows a broadcast side may have; beyond it every caller takes its shuffled way.
 BROADCAST_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table."""
+    expose_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
