@@ -22,6 +22,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litmill.llm.language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs, ~held_out()))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litmill.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litmill.llm.simhash import near_duplicates
 
@@ -29,7 +42,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op9_simhash": op9_simhash}
+    return {"op1_token_counts": op1_token_counts, "op4_language_id": op4_language_id, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
