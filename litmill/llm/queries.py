@@ -29,6 +29,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs, ~held_out()))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litmill.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litmill.llm.decontaminate import contaminated
 
@@ -42,7 +48,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op4_language_id": op4_language_id, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash}
+    return {"op1_token_counts": op1_token_counts, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
