@@ -35,6 +35,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litmill.llm.repair import write_and_read
+
+    return write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=1)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litmill.llm.decontaminate import contaminated
 
@@ -48,7 +54,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash}
+    return {"op1_token_counts": op1_token_counts, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
