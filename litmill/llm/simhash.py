@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import Scratch, components
+from litmill.llm.common import BROADCAST_ROWS, Scratch, broadcast_if_small, components
 
 SLICE_BYTES = 2 << 20
 #: Members that one key's group may have within one task.
@@ -304,3 +304,26 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_column: str = "doc_id",
     return rows.join(of_value, "fp").select(
         F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, width: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their own columns, without the near duplicates: one row of each component stays.
+
+    Rows are told apart by a hash of id and text, so null and repeated ids do no harm; which row stays depends on
+    that hash alone. Rows of equal id and text are left as one."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_column).isNull(), id_column, F.col(text_column).isNull(), text_column))
+    groups = Scratch(docs.sparkSession, "keep").write(near_duplicates(keyed, width, "_key", text_column).select("_key", "component_id"))
+    repeated = groups.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key")
+    repeated = repeated.join(groups.filter("_key = component_id").select("_key").distinct(), "_key", "left_semi")
+    gone = groups.filter("_key <> component_id").select("_key").union(repeated).distinct()
+    left = keyed.join(_small_or_hashed(gone), "_key", "left_anti")
+    if not repeated.isEmpty():
+        again = keyed.join(_small_or_hashed(repeated), "_key", "left_semi").dropDuplicates(["_key"])
+        left = left.unionByName(again)
+    return left.select(*[F.col(c) for c in docs.columns])
+
+
+def _small_or_hashed(keys: DataFrame) -> DataFrame:
+    """For the right side of a join that is not to sort the left one."""
+    n = keys.count()
+    return broadcast_if_small(keys, n) if n <= BROADCAST_ROWS else keys.hint("shuffle_hash")
