@@ -29,6 +29,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs, ~held_out()))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litmill.llm.secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litmill.llm.mixing import mix
 
@@ -54,7 +60,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op4_language_id": op4_language_id, "op6_mixing": op6_mixing, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash}
+    return {"op1_token_counts": op1_token_counts, "op4_language_id": op4_language_id, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
