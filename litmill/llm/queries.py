@@ -59,8 +59,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litmill.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op4_language_id": op4_language_id, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash}
+    return {"op1_token_counts": op1_token_counts, "op4_language_id": op4_language_id, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
