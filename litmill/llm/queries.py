@@ -28,6 +28,12 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litmill.llm.line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litmill.llm.language_id import held_out, identify, train
 
@@ -72,7 +78,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_embedding_dedup": op2_embedding_dedup, "op4_language_id": op4_language_id, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
+    return {"op1_token_counts": op1_token_counts, "op2_embedding_dedup": op2_embedding_dedup, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_token_file": op7_token_file, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
