@@ -22,9 +22,9 @@ their text; an empty table gives an empty file and result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from litmill.llm.common import Scratch, broadcast_if_small, expose_package
+from litmill.llm.common import Scratch, broadcast_if_small, expose_package, only, slices
 
 SHARD_IDS = 2 << 20
 SLICE_BYTES, CACHE_CHUNKS, CACHE_KEY = 2 << 20, 1_000_000, 64
-MARK = b"\x01"
-CELL_BITS, ROUNDS, RULES_A_ROUND, LEAST_COUNT = 18, 8, 3000, 6
+#: A full stop or comma before white space that doesn't stand after a plain letter or digit.
+RUNS = re.compile(rb"(?<![a-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,][ \n]")
+MARK, LATIN_END = b"\x01", "\u0250"
+CELL_BITS, ROUNDS, RULES_A_ROUND, LEAST_COUNT = 18, 4, 5000, 8
 SYMBOLS = 1 << 16
 SCHEMA = "part long, shard long, docs long, ids long, doc_ids binary, known binary, lengths binary, terminals long, rules binary, rounds binary, rule_lengths binary, symbols binary"
 
@@ -57,66 +59,68 @@ class Encoder:
         if self.size > SYMBOLS:
             raise ValueError("symbols of 16 bits don't hold this vocabulary")
         self.cache: dict[bytes, bytes] = {}
+        self.ends_word = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends_word[i] = token.endswith("</w>")
         self.between = f" {MARK.decode()} "
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
 
+    def _joined(self, chunks: list[str], between: str) -> np.ndarray:
+        (done,) = self.tokenizer.encode_batch_fast([between.join(chunks)], add_special_tokens=False)
+        return np.array(done.ids, np.uint16)
+
     def _learn(self, chunks: list[bytes]) -> None:
-        """Encodes many pieces as one text, with a sign between them whose id shows where they end."""
-        plain = [c for c in chunks if MARK not in c]
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            (done,) = self.tokenizer.encode_batch_fast([self.between.join(c.decode("utf-8") for c in part)], add_special_tokens=False)
-            ids = np.array(done.ids, np.uint16)
-            flat, cuts, start = ids.tobytes(), np.flatnonzero(ids == self.mark).tolist(), 0
-            for c, end in zip(part, [*cuts, len(ids)], strict=True):
-                self.cache[c] = flat[2 * start : 2 * end]
-                start = end + 1
+        """Encodes many pieces as one text. A lower-case word ends where an id ends a word; between other pieces
+        stands a sign whose id shows where they end."""
+        words, others, marked = [], [], []
         for c in chunks:
-            if MARK in c:
-                self.cache[c] = np.array(self.tokenizer.encode(c.decode("utf-8"), add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def _core(self, chunk: bytes) -> tuple[bytes, bytes]:
-        """A piece in lower case without the full stop or comma after its last letter, and that sign. The library
-        lower-cases and splits there too; not so what it composes or takes for special strings first."""
-        if b"\xcc" in chunk or b"\xcd" in chunk or b"<|" in chunk:
-            return chunk, b""
-        chunk = chunk.lower()
-        if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalpha():
-            return chunk[:-1], chunk[-1:]
-        return chunk, b""
-
-    def _add(self, chunks: list[bytes]) -> None:
-        cores = [self._core(c) for c in chunks]
-        need = {c for c, _ in cores} | {s for _, s in cores if s}
-        self._learn([c for c in need if c not in self.cache])
-        cache = self.cache
-        for chunk, (core, sign) in zip(chunks, cores, strict=True):
-            cache[chunk] = cache[core] + cache[sign] if sign else cache[core]
+            text = c.decode("utf-8")
+            (marked if MARK in c else words if c.isalpha() or (text.isalpha() and text.islower() and max(text) < LATIN_END) else others).append((c, text))
+        for group, between in ((words, " "), (others, self.between)):
+            for i in range(0, len(group), 1000):
+                part = group[i : i + 1000]
+                ids = self._joined([t for _, t in part], between)
+                if group is words:
+                    ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+                    starts = [0, *ends[:-1]]
+                else:
+                    ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+                    starts = [0, *(e + 1 for e in ends[:-1])]
+                flat = ids.tobytes()
+                self.cache.update((c, flat[2 * s : 2 * e]) for (c, _), s, e in zip(part, starts, ends, strict=True))
+        for c, text in marked:
+            self.cache[c] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    @staticmethod
+    def _plain(text: bytes) -> bytes:
+        """The text in lower case, with a space before full stops and commas that end a word, so that fewer different
+        pieces are left. The library lower-cases and splits there too; not so where it composes signs, takes them for
+        special strings first, or where other signs stand before, so such texts stay as they are."""
+        if b"\xcc" in text or b"\xcd" in text or b"<|" in text:
+            return text
+        text = text.lower()
+        if RUNS.search(text):
+            return text
+        for sign in (b".", b","):
+            for space in (b" ", b"\n"):
+                text = text.replace(sign + space, b" " + sign + space)
+        return text
 
     def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many of each), each text followed by ``end``."""
-        split = [t.split() for t in texts]
+        split = [self._plain(t).split() for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        new = set()
-        for chunks in split:
-            new.update(chunks)
-        new = [c for c in new if c not in self.cache]
-        self._add(new)
+        new = list(set().union(*split).difference(self.cache))
+        self._learn(new)
         get, tail = self.cache.__getitem__, np.array([] if end is None else [end], np.uint16).tobytes()
         encoded = [b"".join(map(get, chunks)) + tail for chunks in split]
         for c in new:
             if len(c) > CACHE_KEY:
-                self.cache.pop(c, None)
-                self.cache.pop(self._core(c)[0], None)
+                del self.cache[c]
         return np.frombuffer(b"".join(encoded), np.uint16), np.fromiter(map(len, encoded), np.int64, len(encoded)) // 2
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, two symbols each; nonterminals of each round; symbols) of 16-bit ids below ``terminals``."""
     symbols, rules, rounds = ids.astype(np.uint16), [], []
@@ -224,9 +228,7 @@ def encode_shards(docs: DataFrame, vocabulary: str, end: int | None = 1, id_colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from litmill.llm.common import slices
-
-        encoder, part, shard = _encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, shard = only(("encoder", vocabulary), lambda: Encoder(vocabulary)), TaskContext.get().partitionId(), 0
         doc_ids, lengths, ids, held = [], [], [], 0
         for batch in batches:
             text = pc.fill_null(pc.cast(batch.column(1), pa.binary()), b"")
