@@ -3,16 +3,42 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.session import expose_package
+from litmill import session
 
 #: Rows a broadcast side may have; beyond it every caller takes its shuffled way.
 BROADCAST_ROWS = 20_000
+#: The same for tables of one 64-bit key, 32 MB at most.
+BROADCAST_KEYS = 1_000_000
+
+
+#: Rows in an Arrow batch, where the session has Spark's own default: texts may be long, and batches are held whole.
+ARROW_ROWS = 1000
+
+
+def expose_package(spark: SparkSession) -> None:
+    """Prepares the session for Python workers: the package's path, and batches of bounded size."""
+    session.expose_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+_HELD: dict = {}
+
+
+def only(key, make):
+    """What ``make`` gave for ``key`` in this worker. Workers are reused, so what another step held goes first."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

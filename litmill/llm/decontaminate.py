@@ -19,6 +19,7 @@ an empty table of either kind gives an empty result, or keeps all documents.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import expose_package
+from litmill.llm.common import expose_package, only, slices
 
 WINDOW, MIN_LITERALS, MIN_COVERAGE = 8, 4, 0.5
 PART_WINDOWS = 1_000_000
@@ -244,15 +245,8 @@ def match_texts(index: Index, filters: dict[int, np.ndarray], templates: Templat
     return [_matches(index, split[d], kinds, hits[d]) if d in hits else [] for d in range(len(texts))]
 
 
-_STATE: dict[int, tuple] = {}
-
-
-def _state(sent, key: int) -> tuple:
-    if key not in _STATE:
-        _STATE.clear()
-        index = sent.value
-        _STATE[key] = (index, index.filters(), Templates())
-    return _STATE[key]
+def _state(sent, key: str) -> tuple[Index, dict[int, np.ndarray], Templates]:
+    return only(("benchmark", key), lambda: (sent.value, sent.value.filters(), Templates()))
 
 
 def _parts(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[Index]:
@@ -270,9 +264,7 @@ def _parts(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[I
         yield build_index(part)
 
 
-def _run(index_key: int, sent, texts: pa.Array) -> list[list[tuple[int, float, int, int]]]:
-    from litmill.llm.common import slices
-
+def _run(index_key: str, sent, texts: pa.Array) -> list[list[tuple[int, float, int, int]]]:
     index, filters, templates = _state(sent, index_key)
     texts = pc.fill_null(texts, "")
     return [m for i, j in slices(texts, SLICE_BYTES) for m in match_texts(index, filters, templates, texts.slice(i, j - i).to_pylist())]
@@ -288,7 +280,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     for index in _parts(benchmark, item_id, item_text):
         sent = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=id(sent)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 items = _state(sent, key)[0].items
                 found = [(d, items[i].item_id, items[i].items, c, p, x) for d, ms in zip(batch.column(0).to_pylist(), _run(key, sent, batch.column(1)), strict=True) for i, c, p, x in ms]
@@ -309,7 +301,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text",
     for index in _parts(benchmark, item_id, item_text):
         sent = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=id(sent)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not m for m in _run(key, sent, batch.column(at))], pa.bool_()))
 

@@ -17,6 +17,7 @@ empty table gives an empty result; a table without labels gives ``und`` througho
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from litmill.llm.common import broadcast_if_small, expose_package
+from litmill.llm.common import broadcast_if_small, expose_package, only, slices
 
 ORDER = 5
 SAMPLE_ROWS = 500
@@ -291,21 +292,10 @@ def train(docs: DataFrame, learn: Column | None = None, sample_rows: int = SAMPL
     return calibrate(fit(words.sort_values(["lang", "word"])), sample.filter("fold").select("lang", "text").toPandas())
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(model) -> Scorer:
-    """One scorer per broadcast model and worker."""
-    if model.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.id] = Scorer(model.value)
-    return _SCORERS[model.id]
-
-
 class _Held:
     """A broadcast and its id."""
 
-    def __init__(self, sent, key: int):
+    def __init__(self, sent, key: str):
         self.sent, self.id = sent, key
 
     @property
@@ -315,13 +305,11 @@ class _Held:
 
 def _send(docs: DataFrame, model: Model) -> _Held:
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return _Held(sent, id(sent))
+    return _Held(sent, uuid.uuid4().hex)
 
 
 def _predicted(held: _Held, text: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
-    from litmill.llm.common import slices
-
-    scorer = _scorer(held)
+    scorer = only(("language", held.id), lambda: Scorer(held.value))
     text = pc.fill_null(text, "")
     parts = [scorer.predict(text.slice(i, j - i).to_pylist()) for i, j in slices(text, SLICE_BYTES)]
     which, score, bits, rejected = (np.concatenate(x) if parts else np.zeros(0) for x in (zip(*parts, strict=True) if parts else [()] * 4))

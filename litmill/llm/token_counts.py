@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litmill.llm.common import only, slices
+
 #: The published pre-tokenisation of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Unicode White_Space. A token never continues from a non-space into a space, so texts can be cut there.
@@ -147,18 +148,11 @@ class BpeCounter:
         return out
 
 
-@lru_cache(maxsize=2)
-def _counter(path: str) -> BpeCounter:
-    return BpeCounter(path)
-
-
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens, over_limit. ``vocabulary`` is a path that every executor can read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from litmill.llm.common import slices
-
-        counter = _counter(vocabulary)
+        counter = only(("bpe", vocabulary), lambda: BpeCounter(vocabulary))
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
             counts: list[int] = []
