@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import BROADCAST_ROWS, Scratch, broadcast_if_small, components
+from litmill.llm.common import BROADCAST_KEYS, Scratch, components, expose_package, slices
 
 SLICE_BYTES = 2 << 20
 #: Members that one key's group may have within one task.
@@ -82,8 +82,6 @@ def fingerprints(docs: DataFrame, width: int = 4, id_column: str = "doc_id", tex
     """Rows (id, fp: the fingerprint as a signed long) of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from litmill.llm.common import slices
-
         for batch in batches:
             text = pc.fill_null(pc.cast(batch.column(1), pa.binary()), b"")
             parts = []
@@ -95,6 +93,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_column: str = "doc_id", tex
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
+    expose_package(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
 
@@ -324,6 +323,5 @@ def keep_one(docs: DataFrame, width: int = 4, id_column: str = "doc_id", text_co
 
 
 def _small_or_hashed(keys: DataFrame) -> DataFrame:
-    """For the right side of a join that is not to sort the left one."""
-    n = keys.count()
-    return broadcast_if_small(keys, n) if n <= BROADCAST_ROWS else keys.hint("shuffle_hash")
+    """For the right side of a join: neither way sorts the documents, and the first doesn't shuffle them."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_hash")
