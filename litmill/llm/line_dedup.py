@@ -1,7 +1,7 @@
 """Operator 3: fuzzy line deduplication by SimHash, in DataFrame functions only.
 
 Lines are lower-cased, trimmed and single-spaced; empty ones take no part. A line's SimHash has a bit set if it is set
-in over half of the 64-bit hashes of its words. Two different lines are linked if their SimHashes differ in at most
+in over half of the 64-bit hashes of its different words. Two different lines are linked if their SimHashes differ in at most
 ``BITS`` bits and their edit similarity, 1 - distance / longer length, is ``SIMILARITY`` or more. With ``BITS`` = 3 the
 differing bits lie in at most three of five blocks, so two blocks agree: the ten pairs of blocks are the join keys,
 and no link is lost. Equal lines are one node; of every connected group the first occurrence by document id and
@@ -13,6 +13,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -24,13 +25,13 @@ from litmill.llm.common import Scratch, components
 BITS, SIMILARITY = 3, 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Words that share the 16-bit counters of a row.
-COUNTED = 60_000
+COUNTED = 15_000
 
 
 def normalised(line: Column) -> Column:
     """Lower case, without white space at the ends and with single spaces within."""
     low = F.trim(F.lower(line))
-    return F.when(low.contains("  ") | low.rlike(r"[\t\r\x0b\x0c]"), F.trim(F.regexp_replace(low, r"[ \t\r\x0b\x0c]+", " "))).otherwise(low)
+    return F.when(low.contains("  ") | low.contains("\t") | low.contains("\r") | low.contains("\x0b") | low.contains("\x0c"), F.trim(F.regexp_replace(low, r"[ \t\r\x0b\x0c]+", " "))).otherwise(low)
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -50,6 +51,14 @@ def _counter(bit: int) -> Column:
     return F.shiftrightunsigned(F.col(f"c{bit % 16}"), 16 * (bit // 16)).bitwiseAND(F.lit(0xFFFF))
 
 
+def _majorities(words: Column) -> Column:
+    """The SimHash of sums as above: what is added to a counter carries into its fifteenth bit if it is over half."""
+    lanes = F.lit(0x0001000100010001)
+    add = lanes * (F.lit(0x3FFF).cast("long") - F.shiftright(words, 1))
+    each = [F.shiftleft(F.shiftrightunsigned(F.col(f"c{n}") + add, 14).bitwiseAND(lanes), n) for n in range(16)]
+    return reduce(lambda a, b: a.bitwiseOR(b), each)
+
+
 def _bits(counts: list[Column], words: Column) -> Column:
     """The SimHash of 64 counts."""
     out = None
@@ -61,16 +70,19 @@ def _bits(counts: list[Column], words: Column) -> Column:
 
 def hashed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (row, id, pos, h: a hash of the line, fp: its SimHash, size: its length)."""
+    keys = ["row", "id", "pos", "h", "size"]
     lines = _lines(docs, id_column, text_column).withColumn("h", F.xxhash64("line")).withColumn("size", F.length("line"))
-    words = lines.select("row", "id", "pos", "h", "size", F.posexplode(F.split("line", " ")).alias("at", "word"))
-    keys = ["row", "id", "pos", "h", "size", "part"]
-    words = words.select("row", "id", "pos", "h", "size", F.floor(F.col("at") / COUNTED).cast("int").alias("part"), F.xxhash64("word").alias("w"))
+    long = F.col("size") > 2 * COUNTED  # else it has no more words than can be counted
+    words = lines.filter(~long).select(*keys, F.explode(F.array_distinct(F.split("line", " "))).alias("word")).select(*keys, F.xxhash64("word").alias("w"))
     counted = words.groupBy(*keys).agg(*_counters(), F.count(F.lit(1)).alias("n"))
-    single = counted.withColumn("whole", (F.col("part") == 0) & (F.col("n") < COUNTED))
-    short = single.filter("whole").select("row", "id", "pos", "h", "size", _bits([_counter(b) for b in range(64)], F.col("n")).alias("fp"))
-    wide = single.filter("NOT whole").groupBy(*keys[:-1]).agg(*[F.sum(_counter(b)).alias(f"b{b}") for b in range(64)], F.sum("n").alias("n"))
-    long = wide.select("row", "id", "pos", "h", "size", _bits([F.col(f"b{b}") for b in range(64)], F.col("n")).alias("fp"))
-    return short.union(long)
+    short = counted.select(*keys, _majorities(F.col("n")).alias("fp"))
+    if docs.filter(F.length(text_column) > 2 * COUNTED).isEmpty():
+        return short
+    words = lines.filter(long).select(*keys, F.posexplode(F.array_distinct(F.split("line", " "))).alias("at", "word"))
+    words = words.select(*keys, F.floor(F.col("at") / COUNTED).cast("int").alias("part"), F.xxhash64("word").alias("w"))
+    parts = words.groupBy(*keys, "part").agg(*_counters(), F.count(F.lit(1)).alias("n"))
+    wide = parts.groupBy(*keys).agg(*[F.sum(_counter(b)).alias(f"b{b}") for b in range(64)], F.sum("n").alias("n"))
+    return short.union(wide.select(*keys, _bits([F.col(f"b{b}") for b in range(64)], F.col("n")).alias("fp")))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
