@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from litmill.functions.arrays import as_boolean, as_whole_number
 from litmill.functions.dates import era_of_sample
 from litmill.functions.text import has_text
+from litmill.schemas import conform
 from litmill.session import expose_package
 from litmill.sources.tables import upsert
 
@@ -261,5 +262,5 @@ def extract(rows: DataFrame, model: Model = rule_model, model_id: str = "rules",
 def pilot(rows: DataFrame, n: int, **how) -> tuple[DataFrame, DataFrame]:
     """(successes, failures) of the first ``n`` rows by pmid, in the declared schemas."""
     done = extract(rows.orderBy("pmid").limit(n), **how)
-    good = done.filter("ok").drop("ok", "reason").withColumnRenamed("at", "extracted_at")
-    return good, done.filter("NOT ok").select("pmid", "reason", "raw_response", "model_id", "prompt_version", F.col("at").alias("failed_at"))
+    good = done.filter("ok").withColumnRenamed("at", "extracted_at")
+    return conform(good, "epistemic_pilot"), conform(done.filter("NOT ok").withColumnRenamed("at", "failed_at"), "epistemic_pilot_failed")
