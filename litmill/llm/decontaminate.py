@@ -3,9 +3,10 @@
 Words are lower-cased and stripped of punctuation; numbers, names (capitalised words within a sentence) and units
 after a number become typed placeholders. Every window of ``WINDOW`` template words of a document is looked up among
 the windows of the benchmark by hash. Windows that match an item's are aligned; what stands in an item's slot must
-map one to one to what stands there in the document, and windows that break the mapping of most do not count. A
-document is contaminated by an item if windows that count cover ``MIN_COVERAGE`` of the item's words. So an item is
-found whole, in good part, and with its numbers, names or units exchanged throughout.
+map one to one to what stands there in the document: if the mapping of most holds for less than ``MIN_CONSISTENT`` of
+the places the match is dropped, and windows that break it do not count. A document is contaminated by an item if
+windows that count cover ``MIN_COVERAGE`` of the item's words. So an item is found whole, in good part, and with its
+numbers, names or units exchanged throughout.
 
 Items of the same template and the same pattern of equal slots are one: reported is the lowest id and how many
 there are. Items of fewer than ``WINDOW`` words are one window of their own length; items with fewer than
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from litmill.llm.common import expose_package, only, slices
 
-WINDOW, MIN_LITERALS, MIN_COVERAGE = 8, 4, 0.5
+WINDOW, MIN_LITERALS, MIN_COVERAGE, MIN_CONSISTENT = 8, 4, 0.5, 0.8
 PART_WINDOWS = 1_000_000
 SLICE_BYTES, CACHE_WORDS = 2 << 20, 300_000
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -213,6 +214,9 @@ def _matches(index: Index, words: list[str], kinds: np.ndarray, hits: list[tuple
                         chosen[slot] = value
                         taken.add((slot[0], value))
                         break
+            aligned = {(p + i, q + i): (each_slot, value) for (p, q, width), each in zip(group, slots, strict=True) for i, (each_slot, value) in zip((i for i in range(width) if item.kinds[q + i]), each, strict=True)}
+            if sum(chosen.get(slot) == value for slot, value in aligned.values()) < MIN_CONSISTENT * len(aligned):
+                continue
             covered = np.zeros(size, bool)
             first = None
             for (p, q, width), each in zip(group, slots, strict=True):

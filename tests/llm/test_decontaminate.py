@@ -19,7 +19,7 @@ def test_finds_whole_partial_and_changed(spark, monkeypatch):
     docs, items = tables(spark)
     got = {(r.doc_id, r.item_id): r for r in D.contaminated(docs, items).collect()}
     assert {k for k in got} == {(1, 11), (2, 11), (7, 10), (None, 10), (9, 10)}
-    assert got[1, 11].coverage > 0.9 and got[1, 11].n_exchanged == 0 and got[2, 11].n_exchanged == 5 and got[7, 10].n_items == 2
+    assert got[1, 11].coverage > 0.9 and got[1, 11].n_exchanged == 0 and got[2, 11].n_exchanged == 4 and got[7, 10].n_items == 2
     assert got[9, 10].first_word == 30000
     monkeypatch.setattr(D, "PART_WINDOWS", 10)  # more than one pass
     assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()} >= {(1, 11), (2, 11), (7, 10), (None, 10), (9, 10)}
