@@ -63,7 +63,7 @@ def _hashes(signs: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray
     with np.errstate(over="ignore"):
         for k in range(1, order + 1):
             back = np.zeros(len(signs), np.uint64)
-            back[k - 1 :] = signs[: len(signs) - k + 1]
+            back[k - 1 :] = signs[: max(0, len(signs) - k + 1)]
             at = at + (back + np.uint64(1)) * power
             mixed = at ^ (at >> np.uint64(29))
             mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
