@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from litmill.llm.common import Scratch, components
+from litmill.llm.common import BROADCAST_KEYS, Scratch, components
 
 BITS, SIMILARITY = 3, 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -34,9 +34,13 @@ def normalised(line: Column) -> Column:
     return F.when(low.contains("  ") | low.contains("\t") | low.contains("\r") | low.contains("\x0b") | low.contains("\x0c"), F.trim(F.regexp_replace(low, r"[ \t\r\x0b\x0c]+", " "))).otherwise(low)
 
 
-def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Rows (row, id, text); ``row`` numbers the rows of ``docs`` and is the same for the same input."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
     """Rows (row, id, pos, line) of the lines that take part."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     split = rows.select("row", "id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     return split.select("row", "id", "pos", normalised(F.col("raw")).alias("line")).filter("line <> ''")
 
@@ -71,14 +75,15 @@ def _bits(counts: list[Column], words: Column) -> Column:
 def hashed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (row, id, pos, h: a hash of the line, fp: its SimHash, size: its length)."""
     keys = ["row", "id", "pos", "h", "size"]
-    lines = _lines(docs, id_column, text_column).withColumn("h", F.xxhash64("line")).withColumn("size", F.length("line"))
+    rows = _documents(docs, id_column, text_column)
+    hashed = lambda rows: _lines(rows).withColumn("h", F.xxhash64("line")).withColumn("size", F.length("line"))
     long = F.col("size") > 2 * COUNTED  # else it has no more words than can be counted
-    words = lines.filter(~long).select(*keys, F.explode(F.array_distinct(F.split("line", " "))).alias("word")).select(*keys, F.xxhash64("word").alias("w"))
+    words = hashed(rows).filter(~long).select(*keys, F.explode(F.array_distinct(F.split("line", " "))).alias("word")).select(*keys, F.xxhash64("word").alias("w"))
     counted = words.groupBy(*keys).agg(*_counters(), F.count(F.lit(1)).alias("n"))
     short = counted.select(*keys, _majorities(F.col("n")).alias("fp"))
     if docs.filter(F.length(text_column) > 2 * COUNTED).isEmpty():
         return short
-    words = lines.filter(long).select(*keys, F.posexplode(F.array_distinct(F.split("line", " "))).alias("at", "word"))
+    words = hashed(rows.filter(F.length("text") > 2 * COUNTED)).filter(long).select(*keys, F.posexplode(F.array_distinct(F.split("line", " "))).alias("at", "word"))
     words = words.select(*keys, F.floor(F.col("at") / COUNTED).cast("int").alias("part"), F.xxhash64("word").alias("w"))
     parts = words.groupBy(*keys, "part").agg(*_counters(), F.count(F.lit(1)).alias("n"))
     wide = parts.groupBy(*keys).agg(*[F.sum(_counter(b)).alias(f"b{b}") for b in range(64)], F.sum("n").alias("n"))
@@ -102,10 +107,33 @@ def candidates(lines: DataFrame) -> DataFrame:
 
 
 def similar(a: Column, b: Column) -> Column:
-    """Whether the edit similarity is high enough; the distance is computed within its bound only."""
-    longer = F.greatest(F.length(a), F.length(b))
-    bound = F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int")
-    return F.levenshtein(a, b) <= bound
+    """Whether the edit similarity of two different texts is high enough.
+
+    What both begin and end with, in whole words, adds no distance and is cut off. If as many words are left of both,
+    the distances word by word add up to no less than the distance; only where that is too much the distance itself
+    is computed, within its bound."""
+    def cut(x: Column, y: Column) -> Column:
+        same = lambda p, q: F.array_position(F.zip_with(p, q, lambda v, w: v.eqNullSafe(w)), F.lit(False)) - 1
+        front = same(x, y)
+        back = F.least(same(F.reverse(x), F.reverse(y)), F.least(F.size(x), F.size(y)) - front)
+        part = lambda z: F.slice(z, (front + 1).cast("int"), F.greatest(F.size(z) - front - back, F.lit(0)).cast("int"))
+        return F.struct(part(x).alias("x"), part(y).alias("y"))
+
+    bound = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - SIMILARITY) + 1e-9).cast("int")
+    left = cut(F.split(a, " "), F.split(b, " "))
+    joined = lambda z: F.array_join(F.transform(z, lambda w: F.concat(w, F.lit(" "))), "")
+
+    def judged(m: Column) -> Column:
+        by_word = F.aggregate(F.zip_with(m.x, m.y, lambda v, w: F.levenshtein(v, w)), F.lit(0), lambda total, d: total + d)
+        whole = F.call_function("levenshtein", joined(m.x), joined(m.y), bound) >= 0
+        return F.when((F.size(m.x) == F.size(m.y)) & (by_word <= bound), True).otherwise(whole)
+
+    return F.transform(F.array(left), judged)[0]
+
+
+def _keys(keys: DataFrame) -> DataFrame:
+    """The right side of a semi-join by one key: broadcast within the bound, else left to be shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def line_groups(scratch: Scratch, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -114,8 +142,10 @@ def line_groups(scratch: Scratch, docs: DataFrame, id_column: str = "doc_id", te
     different = occurrences.groupBy("h").agg(F.first("fp").alias("fp"), F.first("size").alias("size"))
     pairs = scratch.write(candidates(different))
     ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    texts = _lines(docs, id_column, text_column).select(F.xxhash64("line").alias("h"), "line").join(ends, "h", "left_semi")
-    texts = scratch.write(texts.groupBy("h").agg(F.first("line").alias("line")))
+    seen = occurrences.join(_keys(ends), "h", "left_semi").groupBy("h").agg(F.min(F.struct("row", "pos")).alias("at"))
+    seen = scratch.write(seen.select("h", F.col("at.row").alias("row"), F.col("at.pos").alias("pos")))
+    holders = _documents(docs, id_column, text_column).join(_keys(seen.select("row").distinct()), "row", "left_semi")
+    texts = scratch.write(_lines(holders).join(seen, ["row", "pos"]).select("h", "line"))
     linked = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     roots = components(scratch, linked.filter(similar(F.col("x"), F.col("y"))).select("a", "b"))
     return occurrences.join(roots, F.col("h") == F.col("node"), "left").select("row", "id", "pos", F.coalesce("root", "h").alias("root"))
