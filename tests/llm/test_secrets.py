@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from litmill.llm import secrets as S
@@ -19,7 +20,10 @@ def base(text):
 
 
 def test_base_and_model(spark):
-    df = spark.createDataFrame([(i, t, "x") for i, t in ROWS] + [(100 + i, "the ordinary words of an identifier list and their usual forms " * 3, "x") for i in range(50)], "doc_id long, text string, spans string")
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxyz") + rng.choice("aeiou") for _ in range(rng.randint(1, 5)))
+    filler = [(100 + i, " ".join(word() for _ in range(80)), "x") for i in range(50)]  # all letters, to learn from
+    df = spark.createDataFrame([(i, t, "x") for i, t in ROWS] + filler, "doc_id long, text string, spans string")
     got = S.secrets(df).collect()
     assert len(got) == len(ROWS) + 50
     assert sorted(((r.doc_id, [r.n_assign, r.n_access, r.n_hex], r.base_sha256) for r in got), key=str) == sorted(((i, *base(t)[:2]) for i, t, _ in df.collect()), key=str)
