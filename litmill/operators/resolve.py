@@ -10,8 +10,8 @@ from litmill.functions.text import compatible, first_initial, heuristic_id, last
 from litmill.operators.dedup import first_per_key
 from litmill.session import expose_package
 
-#: Fixed value: the salt of heuristic author ids.
-SALT = "scifield_v1"
+#: The salt of heuristic author ids; an existing corpus keeps its ids by passing its own.
+SALT = "authors_v1"
 
 
 def position_flags(rows: DataFrame, key: str = "pmid", position: str = "author_position", label: str = "author_position_label") -> DataFrame:

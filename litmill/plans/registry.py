@@ -298,7 +298,7 @@ def q_size_unstack(spark, d):
 # Entities
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'ORCID:' || c_custkey WHEN c_custkey % 3 = 1 THEN 'OA:' || c_custkey ELSE 'H:H' || substr(sha1('scifield_v1|' || regexp_replace(lower(c_name), '[^a-z]', '', 'g') || '|' || substr(regexp_replace(lower(c_name), '[^a-z]', '', 'g'), 1, 1) || '|' || c_nationkey), 1, 16) END AS canonical_id FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'ORCID:' || c_custkey WHEN c_custkey % 3 = 1 THEN 'OA:' || c_custkey ELSE 'H:H' || substr(sha1('authors_v1|' || regexp_replace(lower(c_name), '[^a-z]', '', 'g') || '|' || substr(regexp_replace(lower(c_name), '[^a-z]', '', 'g'), 1, 1) || '|' || c_nationkey), 1, 16) END AS canonical_id FROM customer""")
 def q_author_canonical(spark, d):
     c = t(spark, d, "customer")
     own = F.col("c_custkey").cast("string")
