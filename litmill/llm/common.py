@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -37,6 +38,9 @@ def only(key, make):
     if key not in _HELD:
         _HELD.clear()
         gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim:
+            trim(0)
         _HELD[key] = make()
     return _HELD[key]
 
