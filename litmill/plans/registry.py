@@ -205,7 +205,7 @@ def q_internal_citations(spark, d):
 @query(f"WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS_SQL}) AS term FROM documents), n AS (SELECT count(DISTINCT doc_id) AS total FROM documents) SELECT term, count(DISTINCT doc_id) AS n FROM w, n GROUP BY term, total HAVING 100.0 * count(DISTINCT doc_id) / total <= 25 ORDER BY n DESC, term LIMIT 50")
 def q_mesh_having_ratio(spark, d):
     docs = t(spark, d, "documents")
-    return reports.frequent_terms(topics.terms(docs, "doc_id", stop_words=[]).distinct(), "term", "doc_id", docs.select("doc_id").distinct().count(), 25.0, 50)
+    return reports.frequent_terms(topics.terms(docs, "doc_id", stop_words=[]), "term", "doc_id", docs.select("doc_id").distinct().count(), 25.0, 50)
 
 
 @query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS_SQL}) AS term FROM documents), f AS (SELECT term, count(*) AS n FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25)
