@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, SimHash near-dedup, benchmark decontamination, mixing, token file.
+"""The corpus pipeline: language ID, near-dedup by shingles, benchmark decontamination, mixing, token file.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 docs of the next. All but the last return the columns of ``documents``; the last returns the digest of the token
@@ -15,6 +15,7 @@ from litmill.llm.language_id import keep_identified, train
 from litmill.llm.mixing import mixed
 from litmill.llm.queries import tokenizer_path
 from litmill.llm.repair import write_and_read
+from litmill.llm.shingle_dedup import near_copies
 from litmill.llm.simhash import keep_one
 
 
@@ -24,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    return keep_one(docs)
+    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    return keep_one(docs, grouped=near_copies)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ component, unless it has no other member; repeated rows stay; an empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -305,13 +305,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_column: str = "doc_id",
     )
 
 
-def keep_one(docs: DataFrame, width: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 4, id_column: str = "doc_id", text_column: str = "text", grouped: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
     """The rows of ``docs``, with their own columns, without the near duplicates: one row of each component stays.
+    Components are those of the fingerprints, or what ``grouped`` gives for (docs, id, text).
 
     Rows are told apart by a hash of id and text, so null and repeated ids do no harm; which row stays depends on
     that hash alone. Rows of equal id and text are left as one."""
     keyed = docs.withColumn("_key", F.xxhash64(F.col(id_column).isNull(), id_column, F.col(text_column).isNull(), text_column))
-    groups = Scratch(docs.sparkSession, "keep").write(near_duplicates(keyed, width, "_key", text_column).select("_key", "component_id"))
+    found = grouped(keyed, "_key", text_column) if grouped else near_duplicates(keyed, width, "_key", text_column)
+    groups = Scratch(docs.sparkSession, "keep").write(found.select("_key", "component_id"))
     repeated = groups.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key")
     repeated = repeated.join(groups.filter("_key = component_id").select("_key").distinct(), "_key", "left_semi")
     gone = groups.filter("_key <> component_id").select("_key").union(repeated).distinct()
