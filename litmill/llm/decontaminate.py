@@ -4,7 +4,8 @@ Words are lower-cased and stripped of punctuation; numbers, names (capitalised w
 after a number become typed placeholders. Every window of ``WINDOW`` template words of a document is looked up among
 the windows of the benchmark by hash. Windows that match an item's are aligned; what stands in an item's slot must
 map one to one to what stands there in the document: if the mapping of most holds for less than ``MIN_CONSISTENT`` of
-the places the match is dropped, and windows that break it do not count. A document is contaminated by an item if
+the places the match is dropped, and windows that break it do not count. Each occurrence
+of an item is judged by itself, also where others follow closely. A document is contaminated by an item if
 windows that count cover ``MIN_COVERAGE`` of the item's words. So an item is found whole, in good part, and with its
 numbers, names or units exchanged throughout.
 
@@ -181,9 +182,57 @@ def build_index(rows: list[tuple[int | None, str | None]]) -> Index:
     return index
 
 
+def _occurrences(group: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Hits that may be one occurrence of the item: all of the group, those on each diagonal, and runs of diagonals in
+    which both places go on, as where words are put in or left out. Where the item begins again a run ends."""
+    diagonals = defaultdict(list)
+    for hit in group:
+        diagonals[hit[0] - hit[1]].append(hit)
+    if len(diagonals) == 1:
+        return [group]
+    runs: list[list[tuple[int, int, int]]] = []
+    for hits in sorted(diagonals.values()):
+        if runs and hits[0][0] > runs[-1][-1][0] and hits[0][1] > runs[-1][-1][1]:
+            runs[-1] += hits
+        else:
+            runs.append(list(hits))
+    return [group, *runs, *diagonals.values()]
+
+
+def _judged(item: Item, number: int, words: list[str], group: list[tuple[int, int, int]]) -> tuple[int, float, int, int] | None:
+    """The match that hits (place in the document, place in the item, width) make, if most agree on what stands in the slots."""
+    size = len(item.surfaces)
+    votes: dict[tuple[int, str], Counter] = defaultdict(Counter)
+    slots = []
+    for p, q, width in group:
+        each = [((int(item.kinds[q + i]), item.surfaces[q + i]), words[p + i].strip(STRIP).lower()) for i in range(width) if item.kinds[q + i]]
+        slots.append(each)
+        for slot, value in each:
+            votes[slot][value] += 1
+    chosen: dict[tuple[int, str], str] = {}
+    taken: set[tuple[int, str]] = set()
+    for slot, values in sorted(votes.items(), key=lambda x: (-x[1].most_common(1)[0][1], x[0])):
+        for value, _ in sorted(values.items(), key=lambda x: (-x[1], x[0])):
+            if (slot[0], value) not in taken:
+                chosen[slot] = value
+                taken.add((slot[0], value))
+                break
+    aligned = {(p + i, q + i): (each_slot, value) for (p, q, width), each in zip(group, slots, strict=True) for i, (each_slot, value) in zip((i for i in range(width) if item.kinds[q + i]), each, strict=True)}
+    if sum(chosen.get(slot) == value for slot, value in aligned.values()) < MIN_CONSISTENT * len(aligned):
+        return None
+    covered = np.zeros(size, bool)
+    first = None
+    for (p, q, width), each in zip(group, slots, strict=True):
+        if all(chosen.get(slot) == value for slot, value in each):
+            covered[q : q + width] = True
+            first = p if first is None else first
+    return number, float(covered.mean()), -1 if first is None else first, sum(slot[1] != value for slot, value in chosen.items())
+
+
 def _matches(index: Index, words: list[str], kinds: np.ndarray, hits: list[tuple[int, int, int, int]]) -> list[tuple[int, float, int, int]]:
     """(item, coverage, first word, exchanged slots) of a document from its hits (item, place in the item, place in
-    the document, width). Hits of an item further apart than twice its length are told apart."""
+    the document, width). Hits of an item further apart than twice its length are told apart; of what is closer, every
+    occurrence is judged by itself."""
     out = []
     by_item = defaultdict(list)
     for item, q, p, width in hits:
@@ -192,39 +241,13 @@ def _matches(index: Index, words: list[str], kinds: np.ndarray, hits: list[tuple
         item = index.items[number]
         size = len(item.surfaces)
         found.sort()
-        groups, start = [], 0
+        best, start = None, 0
         for i in range(1, len(found) + 1):
             if i == len(found) or found[i][0] - found[i - 1][0] > 2 * size:
-                groups.append(found[start:i])
+                for part in _occurrences(found[start:i]):
+                    row = _judged(item, number, words, part)
+                    best = row if row and (best is None or row[1] > best[1]) else best
                 start = i
-        best = None
-        for group in groups:
-            votes: dict[tuple[int, str], Counter] = defaultdict(Counter)
-            slots = []
-            for p, q, width in group:
-                each = [((int(item.kinds[q + i]), item.surfaces[q + i]), words[p + i].strip(STRIP).lower()) for i in range(width) if item.kinds[q + i]]
-                slots.append(each)
-                for slot, value in each:
-                    votes[slot][value] += 1
-            chosen: dict[tuple[int, str], str] = {}
-            taken: set[tuple[int, str]] = set()
-            for slot, values in sorted(votes.items(), key=lambda x: (-x[1].most_common(1)[0][1], x[0])):
-                for value, _ in sorted(values.items(), key=lambda x: (-x[1], x[0])):
-                    if (slot[0], value) not in taken:
-                        chosen[slot] = value
-                        taken.add((slot[0], value))
-                        break
-            aligned = {(p + i, q + i): (each_slot, value) for (p, q, width), each in zip(group, slots, strict=True) for i, (each_slot, value) in zip((i for i in range(width) if item.kinds[q + i]), each, strict=True)}
-            if sum(chosen.get(slot) == value for slot, value in aligned.values()) < MIN_CONSISTENT * len(aligned):
-                continue
-            covered = np.zeros(size, bool)
-            first = None
-            for (p, q, width), each in zip(group, slots, strict=True):
-                if all(chosen.get(slot) == value for slot, value in each):
-                    covered[q : q + width] = True
-                    first = p if first is None else first
-            row = (number, float(covered.mean()), -1 if first is None else first, sum(slot[1] != value for slot, value in chosen.items()))
-            best = row if best is None or row[1] > best[1] else best
         if best and best[1] >= MIN_COVERAGE:
             out.append(best)
     return out

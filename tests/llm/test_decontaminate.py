@@ -42,3 +42,15 @@ def test_windows_by_brute_force():
         assert bool(own[i]) == (i + 5 <= len(words) and literal[i] >= D.MIN_LITERALS)
     same = [(tuple(h for h in hashes[i : i + 5].tolist()), own[i]) for i in range(len(words)) if own[i]]
     assert len({a for a, _ in same}) == len({b for _, b in same})
+
+
+def test_occurrences_that_follow_each_other(spark):
+    one = ITEM.replace("Tom", "Bob").replace("3", "7").replace("12", "55").replace("Anna", "Eve")
+    two = ITEM.replace("Tom", "Jim").replace("3", "8").replace("12", "44").replace("Anna", "Sue")
+    longer = ITEM.replace("and later", "and a little later")
+    bad = ITEM.replace("Tom bought 3", "Tom bought 9").replace("Tom gave 3", "Bob gave 4").replace("Anna", "Tom")
+    texts = [f"{ITEM} {one}", f"{one} {ITEM}", f"{one} {two}", f"{one} {two} {ITEM}", f"{longer} {one}", f"{one} {longer} {two}", f"{bad} {bad}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(11, ITEM), (12, one)], "item_id long, text string")
+    assert sorted(r.doc_id for r in D.contaminated(docs, items).collect()) == [0, 1, 2, 3, 4, 5]
+    assert [r.doc_id for r in D.keep_clean(docs, items).collect()] == [6]
