@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from litmill import session
 
@@ -52,9 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, set here only where the session has none."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``. Only a session without other machines may
+    have none; it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="litmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -147,8 +151,46 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that begins like ``name`` and that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_column: str, text_column: str) -> Column:
+    """A hash that rows of equal id and text share; nulls count as values."""
+    return F.xxhash64(*[x for c in (id_column, text_column) for x in (F.col(c).isNull(), F.col(c))])
+
+
+def lowest(rows: DataFrame, n: int, group: list[str]) -> DataFrame:
+    """Of different rows (group ..., h, t) the ``n`` lowest (h, t) of each group. A group is first ranked in parts, so
+    that no task sees more of it than ``n`` rows of each part."""
+    salt = F.pmod(F.xxhash64("h", "t"), F.lit(64))
+    nth = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "t"))
+    some = rows.withColumn("salt", salt).withColumn("nth", F.dense_rank().over(Window.partitionBy(*group, "salt").orderBy("h", "t"))).filter(F.col("nth") <= n)
+    return some.select(*group, "h", "t").distinct().withColumn("nth", nth(group or [F.lit(0)])).filter(F.col("nth") <= n).drop("nth")
+
+
+def running(scratch: Scratch, rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with columns that add up each of ``sums`` over all rows before in ``order``, which must tell rows apart.
+    Ranges of rows add up on their own; one task handles a row for each range only."""
+    part, columns = unused(rows, "part_of_range"), rows.columns
+    placed = scratch.write(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    before = lambda keys, by: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(part).agg(*[F.sum(x).alias(f"{name}_of_part") for name, x in sums.items()])
+    window = before([F.lit(0)], [part])
+    offsets = totals.select(F.col(part).alias("part_"), *[F.coalesce(F.sum(f"{name}_of_part").over(window), F.lit(0)).alias(f"{name}_offset") for name in sums])
+    own = placed.select("*", *[F.coalesce(F.sum(x).over(before([part], order)), F.lit(0)).alias(f"{name}_within") for name, x in sums.items()])
+    joined = own.join(F.broadcast(offsets), F.col(part) == F.col("part_"))  # a row for each partition
+    return joined.select(*columns, *[(F.col(f"{name}_within") + F.col(f"{name}_offset")).alias(name) for name in sums])
+
+
+def keys_to_join(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """The right side of a join by one 64-bit key: broadcast within the bound, else hashed, so that the left side is
+    never sorted."""
+    return F.broadcast(keys) if keys.count() <= limit else keys.hint("shuffle_hash")
 
 
 def slices(column, limit: int):
