@@ -62,8 +62,20 @@ def histogram(df: DataFrame, value: Column, bins: int = 60) -> DataFrame:
 
 def frequent_terms(pairs: DataFrame, term: str, key: str, total: int, most_percent: float, top: int) -> DataFrame:
     """The ``top`` terms of most keys among those of at most ``most_percent`` of all keys; ties by term."""
-    counts = pairs.groupBy(term).agg(F.countDistinct(key).alias("n")).filter(F.lit(100.0) * F.col("n") / total <= most_percent)
-    return counts.orderBy(F.desc("n"), term).limit(top)
+    counts = pairs.groupBy(term).agg(F.countDistinct(key).alias("n"))
+    return _most_frequent(counts, F.lit(total), term, most_percent, top)
+
+
+def _most_frequent(counts: DataFrame, total: Column, term: str, most_percent: float, top: int) -> DataFrame:
+    return counts.filter(F.lit(100.0) * F.col("n") / total <= most_percent).select(term, "n").orderBy(F.desc("n"), term).limit(top)
+
+
+def frequent_words(docs: DataFrame, words: Column, key: str, most_percent: float, top: int) -> DataFrame:
+    """``frequent_terms`` of the different elements of ``words``, a column of ``docs``, whose keys must be unique: counts
+    alone are shuffled, and the number of documents is a row of the same plan."""
+    counts = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    total = F.broadcast(docs.agg(F.countDistinct(key).alias("total")))  # one row
+    return _most_frequent(counts.join(total), F.col("total"), "term", most_percent, top)
 
 
 def shares(df: DataFrame, group: str, period: str) -> DataFrame:
@@ -81,13 +93,24 @@ def counts_of_counts(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(value).agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(df: DataFrame, value: str, name: str = "quartile") -> DataFrame:
-    """Adds the quartile 1 to 4 by interpolated edges, closed on the right; ValueError if edges coincide."""
-    edges = df.agg(F.percentile(value, F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0))).alias("e")).first().e
-    if edges is None or len(set(edges)) < 5:
+def quartiles(df: DataFrame, value: str, name: str = "quartile", duplicates: str = "raise") -> DataFrame:
+    """Adds the quartile, from 1, by interpolated edges, closed on the right. Where edges coincide: ValueError, or with
+    ``duplicates="drop"`` fewer bins."""
+    edges = df.agg(F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("e")).first().e
+    if edges is None:
+        return df.withColumn(name, F.lit(None).cast("int"))
+    if len(set(edges)) < 5 and duplicates != "drop":
         raise ValueError(f"the quartile edges of {value} coincide: {edges}")
-    v = F.col(value)
-    return df.withColumn(name, F.when(v <= edges[1], 1).when(v <= edges[2], 2).when(v <= edges[3], 3).when(v <= edges[4], 4))
+    bins = None
+    for n, edge in enumerate(sorted(set(edges))[1:], 1):
+        bins = (bins if bins is not None else F).when(F.col(value) <= edge, n)
+    return df.withColumn(name, bins if bins is not None else F.lit(None).cast("int"))
+
+
+def spot_check(assigned: DataFrame, titles: DataFrame, key: str, value: str, n: int = 5) -> DataFrame:
+    """The ``n`` rows of each quartile of the highest values, with what ``titles`` says of their keys."""
+    best = top_per_group(quartiles(assigned, value, duplicates="drop"), ["quartile"], [F.desc(value), F.asc(key)], n)
+    return best.join(titles, key, "left")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

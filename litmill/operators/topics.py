@@ -14,13 +14,14 @@ from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from litmill.functions.arrays import cosine
 from litmill.functions.text import ngrams, tokens
 from litmill.operators.reports import top_per_group
-from litmill.session import expose_package
+from litmill.session import expose_package, written
 
 NOISE = -1
 
@@ -43,18 +44,25 @@ class TopicConfig:
 # Words
 
 
+def term_list(text: str, ngram: int = 1, stop_words: list[str] | None = None) -> Column:
+    """All tokens of a text column and their runs up to ``ngram``."""
+    words = tokens(F.col(text), stop_words)
+    if ngram == 1:
+        return words
+    return F.transform(F.array(words), lambda w: F.flatten(F.array(*[ngrams(w, n) for n in range(1, ngram + 1)])))[0]
+
+
 def terms(docs: DataFrame, key: str = "pmid", text: str = "text", ngram: int = 1, stop_words: list[str] | None = None) -> DataFrame:
     """Rows (key, term) of all tokens and their runs up to ``ngram``."""
-    words = docs.select(key, tokens(F.col(text), stop_words).alias("w"))
-    lists = F.flatten(F.array(*[ngrams(F.col("w"), n) for n in range(1, ngram + 1)]))
-    return words.select(key, F.explode(lists).alias("term"))
+    return docs.select(key, F.explode(term_list(text, ngram, stop_words)).alias("term"))
 
 
 def class_weights(docs: DataFrame, topic: str = "topic_id", key: str = "pmid", text: str = "text", ngram: int = 1, min_df: int = 1, stop_words: list[str] | None = None) -> DataFrame:
     """Rows (topic, term, weight): a term's share of its class times log(1 + words per class / its count overall).
-    ``min_df`` counts documents."""
-    rows = terms(docs, key, text, ngram, stop_words).join(docs.select(key, topic), key)
-    counts = rows.groupBy(topic, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.countDistinct(key).alias("df"))
+    ``min_df`` counts documents. The topic goes with every term, so only counts are shuffled."""
+    counted = [F.count(F.lit(1)).cast("double").alias("tf")] + ([F.countDistinct(key).alias("df")] if min_df > 1 else [])
+    rows = docs.select(topic, *([key] if min_df > 1 else []), F.explode(term_list(text, ngram, stop_words)).alias("term"))
+    counts = rows.groupBy(topic, "term").agg(*counted)
     if min_df > 1:
         kept = counts.groupBy("term").agg(F.sum("df").alias("df")).filter(F.col("df") >= min_df).select("term")
         counts = counts.join(kept, "term")
@@ -80,34 +88,35 @@ def word_lists(top: DataFrame, topic: str = "topic_id") -> DataFrame:
 # Coherence
 
 
-def _windows(docs: DataFrame, vocabulary: DataFrame, size: int | None, key: str, text: str) -> DataFrame:
-    """Rows (window, term, total windows): which vocabulary words occur in which window of ``size`` tokens; whole
-    documents where ``size`` is None."""
-    expose_package(docs.sparkSession)
-    words = docs.select(F.col(key).cast("string").alias("doc"), tokens(F.col(text)).alias("w"))
-    known = {r[0] for r in vocabulary.collect()}  # top words of the topics
+def _windows(docs: DataFrame, vocabulary: list[str], size: int | None, key: str, text: str) -> DataFrame:
+    """Rows (terms, n): the vocabulary words of a window of ``size`` tokens, and for how many windows of a document they
+    are the same; whole documents where ``size`` is None. Windows change only where a vocabulary word enters or leaves."""
+    known = F.array(*map(F.lit, vocabulary))
+    words = docs.select(tokens(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    if size is None:
+        return words.select(F.array_sort(F.array_intersect("w", known)).alias("terms"), F.lit(1).cast("long").alias("n"))
+    placed = words.select(F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.array_contains(known, s.x)).alias("hits"), F.greatest(F.size("w") - size + 1, F.lit(1)).alias("last"))
+    # A word at place i is in the windows that begin at i - size + 1 to i; these begin anew at either end.
+    starts = F.flatten(F.transform("hits", lambda h: F.array(F.greatest(h.i - size + 1, F.lit(0)), h.i + 1)))
+    cuts = F.array_sort(F.array_distinct(F.filter(F.concat(F.array(F.lit(0)), starts), lambda c: c < F.col("last"))))
+    runs = placed.select("hits", "last", cuts.alias("cuts")).select("hits", F.posexplode("cuts").alias("at", "start"), F.col("cuts"), "last")
+    end = F.coalesce(F.get("cuts", F.col("at") + 1), F.col("last"))
+    inside = F.filter("hits", lambda h: (h.i >= F.col("start")) & (h.i < F.col("start") + size))
+    return runs.select(F.array_sort(F.array_distinct(F.transform(inside, lambda h: h.x))).alias("terms"), (end - F.col("start")).cast("long").alias("n"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, w in zip(batch["doc"], batch["w"], strict=True):
-                w = list(w)
-                n = 1 if size is None else max(1, len(w) - size + 1)
-                for i in range(n if w else 0):
-                    part = w if size is None else w[i : i + size]
-                    out.append((f"{doc}:{i}", sorted(known.intersection(part))))
-            yield pd.DataFrame(out, columns=["window", "terms"])
 
-    return words.mapInPandas(run, "window string, terms array<string>")
+def _pairs_within(terms: str) -> Column:
+    """All pairs (a < b) of a sorted array of different words."""
+    return F.flatten(F.transform(terms, lambda a: F.transform(F.filter(terms, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
 def pair_counts(windows: DataFrame) -> tuple[int, dict[str, int], dict[tuple[str, str], int]]:
     """(windows, windows of each term, windows of each pair of terms); all terms are top words."""
-    total = windows.count()
-    singles = {r[0]: r[1] for r in windows.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
-    pair = F.explode(F.flatten(F.transform("terms", lambda a: F.transform(F.filter("terms", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-    pairs = {(r.a, r.b): r["count"] for r in windows.select(pair.alias("p")).select("p.*").groupBy("a", "b").count().collect()}
-    return total, singles, pairs
+    windows = windows.groupBy("terms").agg(F.sum("n").alias("n"))
+    total = windows.agg(F.sum("n")).first()[0] or 0
+    singles = {r[0]: r[1] for r in windows.select(F.explode("terms").alias("t"), "n").groupBy("t").agg(F.sum("n")).collect()}
+    pairs = windows.select(F.explode(_pairs_within("terms")).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+    return total, singles, {(r.a, r.b): r.n for r in pairs.collect()}
 
 
 def _npmi(a: str, b: str, total: int, singles: dict, pairs: dict, eps: float = 1e-12) -> float:
@@ -127,7 +136,7 @@ def coherence(lists: list[list[str]], docs: DataFrame, top_n: int = 10, metric:
     lists = [x for x in lists if len(x) > 1]
     if not lists:
         return float("nan")
-    vocabulary = docs.sparkSession.createDataFrame([(w,) for w in sorted({w for x in lists for w in x})], "term string")
+    vocabulary = sorted({w for x in lists for w in x})
     total, singles, pairs = pair_counts(_windows(docs, vocabulary, 10 if metric == "c_npmi" else 110, key, text))
     if not total:
         return float("nan")
@@ -144,15 +153,19 @@ def coherence(lists: list[list[str]], docs: DataFrame, top_n: int = 10, metric:
 
 
 def npmi_of_documents(top: DataFrame, docs: DataFrame, topic: str = "topic_id", key: str = "pmid", text: str = "text", digits: int = 6) -> DataFrame:
-    """Rows (topic, npmi): the mean NPMI of all pairs of a topic's words with whole documents as windows."""
-    present = terms(docs, key, text, 1, []).distinct().join(top.select("term").distinct(), "term")
-    total = docs.select(key).distinct().agg(F.count(F.lit(1)).cast("double").alias("d"))
-    singles = present.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    words = top.select(topic, "term")
+    """Rows (topic, npmi): the mean NPMI of all pairs of a topic's words with whole documents as windows; documents have
+    unique keys. The top words go into every document's array, and pairs are made within it."""
+    words = written(top.select(topic, "term"), "top-words")  # a few words for each topic
+    known = F.broadcast(words.agg(F.collect_set("term").alias("known")))  # one row
+    present = docs.select(tokens(F.col(text), []).alias("w")).join(known).select(F.array_sort(F.array_intersect("w", "known")).alias("terms"))
+    single = F.transform("terms", lambda a: F.struct(a.alias("a"), a.alias("b")))
+    counts = present.select(F.explode(F.concat(single, _pairs_within("terms"))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = written(counts, "pair-counts")
+    total = docs.agg(F.countDistinct(key).cast("double").alias("d"))
     pairs = words.select(topic, F.col("term").alias("a")).join(words.select(topic, F.col("term").alias("b")), topic).filter("a < b")
-    wanted = pairs.select("a", "b").distinct()
-    both = wanted.join(present.select(key, F.col("term").alias("a")), "a").join(present.select(key, F.col("term").alias("b")), [key, "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("nab"))
-    joined = pairs.join(both, ["a", "b"], "left").join(singles.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(singles.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b").join(F.broadcast(total))
+    one = counts.filter("a = b")
+    singles = lambda side: one.select(F.col("a").alias(side), F.col("n").alias(f"n{side}"))
+    joined = pairs.join(counts.filter("a < b").withColumnRenamed("n", "nab"), ["a", "b"], "left").join(singles("a"), "a").join(singles("b"), "b").join(F.broadcast(total))
     pab = F.coalesce("nab", F.lit(0.0)) / F.col("d") + 1e-12
     pmi = F.log(pab / (F.col("na") / F.col("d") * F.col("nb") / F.col("d")))
     npmi = F.when(F.abs(F.log(pab)) < 1e-9, 1.0).otherwise(pmi / -F.log(pab))
@@ -250,7 +263,8 @@ def density_clusters(points: np.ndarray, least: int, samples: int) -> np.ndarray
     return labels
 
 
-#: Vectors that the driver clusters; beyond it a sample is clustered and all others join by the nearest centre.
+#: Vectors that the driver clusters. Beyond it a sample is clustered, with the least cluster size in proportion, and all
+#: others join the nearest centre within reach of it.
 FIT_ROWS = 20_000
 
 
@@ -261,26 +275,29 @@ def fit(vectors: DataFrame, config: TopicConfig, key: str = "pmid", vector: str
     if sample.empty:
         return vectors.select(key, F.lit(NOISE).cast("long").alias("topic_id"), F.lit(True).alias("is_noise"))
     v = np.stack([np.asarray(x, np.float64) for x in sample[vector]])
-    labels = density_clusters(reduced(v, config.n_components), config.min_cluster_size, config.min_samples or config.min_cluster_size)
+    share = min(1.0, len(sample) / max(1, vectors.count())) if len(sample) == FIT_ROWS else 1.0
+    least = max(2, round(config.min_cluster_size * share))
+    labels = density_clusters(reduced(v, config.n_components), least, max(1, round((config.min_samples or config.min_cluster_size) * share)))
     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     centres = np.stack([v[labels == k].mean(axis=0) for k in range(labels.max() + 1)]) if labels.max() >= 0 else np.zeros((0, v.shape[1]))
-    if isinstance(config.nr_topics, int):
+    if config.nr_topics == "auto":
+        labels, centres = _merged(labels, centres, 1, NEAR_TOPICS)
+    elif isinstance(config.nr_topics, int):
         labels, centres = _merged(labels, centres, config.nr_topics)
     own = dict(zip(sample[key].tolist(), labels.tolist(), strict=True))
     radius = [float((v[labels == k] @ centres[k] / max(np.linalg.norm(centres[k]), 1e-12)).min()) for k in range(len(centres))]
-    sent = vectors.sparkSession.sparkContext.broadcast((own, centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12), radius))
+    sent = vectors.sparkSession.sparkContext.broadcast((own, centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12), np.array(radius)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, c, least = sent.value
+        known, c, reach = sent.value
         for batch in batches:
-            topics = []
-            for k, x in zip(batch[key], batch[vector], strict=True):
-                if k in known or not len(c):
-                    topics.append(known.get(k, NOISE))
-                else:
-                    x = np.asarray(x, np.float64)
-                    sims = c @ x / max(np.linalg.norm(x), 1e-12)
-                    topics.append(int(sims.argmax()) if sims.max() >= least[int(sims.argmax())] else NOISE)
+            topics = np.full(len(batch), NOISE, np.int64)
+            if len(c) and len(batch):
+                x = np.stack([np.asarray(v, np.float64) for v in batch[vector]])
+                sims = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ c.T
+                best = sims.argmax(axis=1)
+                topics = np.where(sims.max(axis=1) >= reach[best], best, NOISE)
+            topics = [known.get(k, n) for k, n in zip(batch[key], topics.tolist(), strict=True)]
             yield pd.DataFrame({key: batch[key], "topic_id": topics})
 
     kind = dict(vectors.dtypes)[key]
@@ -288,13 +305,25 @@ def fit(vectors: DataFrame, config: TopicConfig, key: str = "pmid", vector: str
     return out.withColumn("is_noise", F.col("topic_id") == NOISE)
 
 
-def _merged(labels: np.ndarray, centres: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest topic joins the nearest until ``most`` are left."""
+#: Cosine of two topic centres from which automatic reduction takes them for one topic.
+NEAR_TOPICS = 0.915
+
+
+def _merged(labels: np.ndarray, centres: np.ndarray, most: int, least_similarity: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest topic joins the nearest until ``most`` are left; with ``least_similarity`` the two nearest topics
+    become one while they are that similar."""
     labels = labels.copy()
     while len(centres) > max(1, most):
         sizes = np.bincount(labels[labels >= 0], minlength=len(centres))
         small = int(sizes.argmin())
         unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        if least_similarity is not None:
+            every = unit @ unit.T
+            np.fill_diagonal(every, -np.inf)
+            if every.max() < least_similarity:
+                break
+            pair = np.unravel_index(int(every.argmax()), every.shape)
+            small = int(min(pair, key=lambda k: (sizes[k], -k)))
         sims = unit @ unit[small]
         sims[small] = -np.inf
         to = int(sims.argmax())
@@ -345,23 +374,33 @@ def cut(leaves: list[int], merges: list[tuple[float, list[int], list[int]]], tar
     return {x: rank[find(x)] for x in leaves}
 
 
+def centres_of(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows (topic_id, centre): the mean vector of each topic."""
+    parts = rows.select("topic_id", F.posexplode(vector).alias("d", "x")).groupBy("topic_id", "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return parts.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s.m).alias("centre"))
+
+
+def representatives(assigned: DataFrame, vectors: DataFrame, n: int = 3, key: str = "pmid", vector: str = "embedding") -> DataFrame:
+    """Rows (topic_id, representative_docs, size): the ``n`` documents nearest to the centre of each topic but noise."""
+    rows = assigned.filter(F.col("topic_id") != NOISE).join(vectors.select(key, vector), key)
+    near = rows.join(centres_of(rows, vector), "topic_id").withColumn("s", F.round(cosine(F.col(vector), F.col("centre")), 9))
+    best = top_per_group(near, ["topic_id"], [F.desc("s"), F.asc(key)], n)
+    docs = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), F.col(key).alias("k")))), lambda x: x.k.cast("long"))
+    sizes = rows.groupBy("topic_id").agg(F.count(F.lit(1)).alias("size"))
+    return best.groupBy("topic_id").agg(docs.alias("representative_docs")).join(sizes, "topic_id").select("topic_id", "representative_docs", "size")
+
+
 def hierarchy(assigned: DataFrame, vectors: DataFrame, words: DataFrame, config: TopicConfig = TopicConfig(), leaf_only: bool = False, key: str = "pmid", vector: str = "embedding") -> DataFrame:
     """Rows of topic_hierarchy: a leaf's words, size, groups, and the three documents nearest to its centre."""
     spark = assigned.sparkSession
     rows = assigned.filter(F.col("topic_id") != NOISE).join(vectors.select(key, vector), key)
-    parts = rows.select("topic_id", F.posexplode(vector).alias("d", "x")).groupBy("topic_id", "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = parts.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s.m).alias("centre"))
-    centres = {r.topic_id: np.array(r.centre) for r in means.collect()}  # a vector for each topic
+    centres = {r.topic_id: np.array(r.centre) for r in centres_of(rows, vector).collect()}  # a vector for each topic
     merges, leaves = merges_of(centres), sorted(centres)
     mid, top = cut(leaves, merges, config.mid_target, leaf_only), cut(leaves, merges, config.top_target, leaf_only)
-    from litmill.functions.arrays import cosine
-
-    near = rows.join(F.broadcast(means), "topic_id").withColumn("s", cosine(F.col(vector), F.col("centre")))
-    best = top_per_group(near, ["topic_id"], [F.desc("s"), F.asc(key)], 3).groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), F.col(key).alias("k")))), lambda x: x.k.cast("long")).alias("representative_docs"))
-    sizes = rows.groupBy("topic_id").agg(F.count(F.lit(1)).alias("size"))
+    best = representatives(assigned, vectors, 3, key, vector)
     groups = spark.createDataFrame([(k, mid[k], top[k]) for k in leaves], "topic_id long, mid_level_id long, top_level_id long")
     lists = words.select("topic_id", F.slice("words", 1, 10).alias("top_words"))
-    joined = groups.join(lists, "topic_id", "left").join(sizes, "topic_id").join(best, "topic_id", "left")
+    joined = groups.join(lists, "topic_id", "left").join(best, "topic_id")
     return joined.select("topic_id", F.coalesce("top_words", F.array().cast("array<string>")).alias("top_words"), "size", "mid_level_id", "top_level_id", F.coalesce("representative_docs", F.array().cast("array<long>")).alias("representative_docs"))
 
 

@@ -5,38 +5,14 @@ with years, lineitem for duplicates and references, part for works, labels for t
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmill.functions import arrays, dates, text
 from litmill.operators import agreement, dedup, labels, reports, resolve, roadmap, topics, vectors
-from litmill.session import expose_package
+from litmill.plans.register import QUERIES, SQL, query, t
 from litmill.sources import tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    expose_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as papers: pmid, journal_slug, year."""
     return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pmid"), F.col("o_orderpriority").alias("journal_slug"), F.year("o_orderdate").alias("year"), "o_totalprice", "o_orderstatus", "o_custkey")
@@ -83,10 +59,11 @@ def q_abstract_filter(spark, d):
     return t(spark, d, "documents").filter(text.has_text(F.col("text"))).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query("SELECT doc_id, source AS journal, '. ' AS joint, coalesce(source, '') || '. ' || coalesce(text, '') AS document, 'mpnet' AS model_name FROM documents WHERE source IN ('src0', 'src1')")
+@query("SELECT doc_id, source AS journal, '. ' AS joint, coalesce(source, '') || '. ' || coalesce(text, '') AS document, 'mpnet' AS model_name, coalesce(source IN ('src0', 'src1'), false) AS listed FROM documents")
 def q_project_rename_concat(spark, d):
-    docs = t(spark, d, "documents").filter(F.col("source").isin("src0", "src1"))
-    return docs.select("doc_id", F.col("source").alias("journal"), F.lit(". ").alias("joint"), text.title_and_abstract(F.col("source"), F.col("text")).alias("document"), F.lit("mpnet").alias("model_name"))
+    document = text.title_and_abstract(F.col("source"), F.col("text"))
+    listed = F.coalesce(F.col("source").isin("src0", "src1"), F.lit(False))
+    return t(spark, d, "documents").select("doc_id", F.col("source").alias("journal"), F.lit(". ").alias("joint"), document.alias("document"), F.lit("mpnet").alias("model_name"), listed.alias("listed"))
 
 
 @query("SELECT doc_id, CAST(CAST(doc_id AS VARCHAR) AS BIGINT) AS pmid, label = 3 AS is_noise FROM documents JOIN embeddings ON doc_id = vec_id")
@@ -204,8 +181,7 @@ def q_internal_citations(spark, d):
 
 @query(f"WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS_SQL}) AS term FROM documents), n AS (SELECT count(DISTINCT doc_id) AS total FROM documents) SELECT term, count(DISTINCT doc_id) AS n FROM w, n GROUP BY term, total HAVING 100.0 * count(DISTINCT doc_id) / total <= 25 ORDER BY n DESC, term LIMIT 50")
 def q_mesh_having_ratio(spark, d):
-    docs = t(spark, d, "documents")
-    return reports.frequent_terms(topics.terms(docs, "doc_id", stop_words=[]), "term", "doc_id", docs.select("doc_id").distinct().count(), 25.0, 50)
+    return reports.frequent_words(t(spark, d, "documents"), text.tokens(F.col("text"), []), "doc_id", 25.0, 50)
 
 
 @query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS_SQL}) AS term FROM documents), f AS (SELECT term, count(*) AS n FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25)
@@ -233,7 +209,7 @@ def q_posexplode_refs(spark, d):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) GROUP BY 1")
 def q_doc_frequency(spark, d):
-    return topics.terms(t(spark, d, "documents"), "doc_id", stop_words=[]).groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
+    return t(spark, d, "documents").select(F.explode(F.array_distinct(text.tokens(F.col("text"), []))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _topic_docs(spark, d):
@@ -495,21 +471,20 @@ def q_top_values(spark, d):
 
 @query("SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS row_id, CAST(floor((row_number() OVER (ORDER BY user_id) - 1) / 50) AS BIGINT) AS chunk FROM (SELECT DISTINCT user_id FROM events)")
 def q_row_ids_in_chunks(spark, d):
-    from pyspark.sql.window import Window
-
-    row = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("user_id")) - 1).alias("row_id")
-    return t(spark, d, "events").select("user_id").distinct().select("user_id", row).withColumn("chunk", F.floor(F.col("row_id") / 50))
+    rows = tables.with_row_ids(t(spark, d, "events").select("user_id").distinct(), [F.col("user_id").asc()])
+    return rows.select("user_id", F.col("row_id").cast("int").alias("row_id")).withColumn("chunk", F.floor(F.col("row_id") / 50))
 
 
 # Extensions
 
 
-@query("""WITH e AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS r FROM lineitem WHERE l_orderkey <= 2000), x AS (SELECT l_partkey AS c, l_orderkey AS r FROM lineitem WHERE l_orderkey <= 200), g AS (SELECT DISTINCT c, r FROM (SELECT c, r FROM e UNION ALL SELECT c, r FROM x)),
+@query("""WITH g AS (SELECT l_orderkey AS c, l_partkey AS r FROM lineitem UNION SELECT l_partkey, l_orderkey FROM lineitem),
 b AS (SELECT r AS focal, c AS later, 1 AS f, 0 AS b FROM g UNION ALL SELECT DISTINCT p.c, q.c, 0, 1 FROM g p JOIN g q ON p.r = q.r AND p.c <> q.c), m AS (SELECT focal, later, max(f) AS f, max(b) AS b FROM b GROUP BY 1, 2)
 SELECT focal, count(*) AS n, round(avg((-2 * f * b + f)::DOUBLE), 9) AS cd FROM m GROUP BY 1""")
 def q_cd_index(spark, d):
+    """Orders and parts of line items cite each other."""
     e = t(spark, d, "lineitem")
-    edges = e.filter("l_orderkey <= 2000").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited")).union(e.filter("l_orderkey <= 200").select("l_partkey", "l_orderkey"))
+    edges = e.select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited")).union(e.select("l_partkey", "l_orderkey"))
     return roadmap.cd_index(edges).withColumn("cd", F.round("cd", 9))
 
 
@@ -524,3 +499,9 @@ def q_semantic_novelty(spark, d):
 def q_moving_average(spark, d):
     y = reports.trend(_papers(spark, d), "journal_slug").select(F.col("journal_slug").alias("journal"), "year", F.col("n").cast("double").alias("n"))
     return roadmap.moving_average(y, "journal", "year", "n").withColumn("forecast", F.round("forecast", 9))
+
+
+# The queries of the other modules register themselves when these are imported.
+from litmill.plans import entities, stores  # noqa: E402
+
+__all__ = ["QUERIES", "SQL", "entities", "stores"]

@@ -100,22 +100,25 @@ def parse_set(body: bytes | str) -> tuple[list[dict], list[dict]]:
     return rows, failures
 
 
-def parse(documents: DataFrame, xml_column: str = "xml") -> DataFrame:
-    """Rows (failed: boolean, row: struct of papers, failure: struct) of a table of article sets."""
+def parse(documents: DataFrame, xml_column: str = "xml", keys: list[str] | None = None) -> DataFrame:
+    """Rows (keys ..., failed: boolean, paper: struct of papers, failure: struct) of a table of article sets."""
     expose_package(documents.sparkSession)
-    schema = f"failed boolean, paper struct<{_struct(DDL['papers'])}>, failure struct<raw_xml: string, error: string>"
+    keys = keys or []
+    kinds = dict(documents.dtypes)
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + f"failed boolean, paper struct<{_struct(DDL['papers'])}>, failure struct<raw_xml: string, error: string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blank = dict.fromkeys(["journal_slug", "fetched_at", "source_ta_match"])
         for batch in batches:
             out = []
-            for body in batch[xml_column]:
+            for *key, body in batch[[*keys, xml_column]].itertuples(index=False, name=None):
+                of = dict(zip(keys, key, strict=True))
                 rows, failures = parse_set(body if body is not None else "")
-                out += [{"failed": False, "paper": blank | r, "failure": None} for r in rows]
-                out += [{"failed": True, "paper": None, "failure": f} for f in failures]
-            yield pd.DataFrame(out, columns=["failed", "paper", "failure"])
+                out += [of | {"failed": False, "paper": blank | r, "failure": None} for r in rows]
+                out += [of | {"failed": True, "paper": None, "failure": f} for f in failures]
+            yield pd.DataFrame(out, columns=[*keys, "failed", "paper", "failure"])
 
-    return documents.select(xml_column).mapInPandas(run, schema)
+    return documents.select(*keys, xml_column).mapInPandas(run, schema)
 
 
 def _struct(ddl: str) -> str:
@@ -139,11 +142,11 @@ def failures(parsed: DataFrame) -> DataFrame:
     return parsed.filter("failed").select("failure.*")
 
 
-def search_result(documents: DataFrame, xml_column: str = "xml") -> DataFrame:
-    """Rows (total, ids) of search responses: a bad count is 0, blank ids go."""
+def search_result(documents: DataFrame, xml_column: str = "xml", keys: list[str] | None = None) -> DataFrame:
+    """Rows (keys ..., total, ids) of search responses: a bad count is 0, blank ids go."""
     x = F.col(xml_column)
     ids = F.filter(F.transform(F.xpath(x, F.lit("/eSearchResult/IdList/Id/text()")), lambda i: F.trim(i)), lambda i: i != "")
-    return documents.select(F.coalesce(F.xpath_string(x, F.lit("/eSearchResult/Count")).try_cast("long"), F.lit(0)).alias("total"), ids.alias("ids"))
+    return documents.select(*(keys or []), F.coalesce(F.xpath_string(x, F.lit("/eSearchResult/Count")).try_cast("long"), F.lit(0)).alias("total"), ids.alias("ids"))
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:

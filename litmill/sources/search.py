@@ -1,10 +1,13 @@
 """Search and fetch of article records behind an injected client, as a Spark data source.
 
 The source's partitions are buckets of journal and year; the client is any object with ``search(term, start, size)``
--> (ids, total) and ``fetch(ids)`` -> bytes. ``LandedClient`` serves files; nothing here opens a network connection."""
+-> (ids, total) and ``fetch(ids)`` -> bytes. The option ``client`` names what makes it, as module:function, called with the
+option ``path``; ``LandedClient`` serves files. Requests keep to a rate and are repeated when they fail. Nothing here opens
+a network connection."""
 
 from __future__ import annotations
 
+import importlib
 import json
 import threading
 import time
@@ -51,23 +54,53 @@ def retried(call: Callable, attempts: int = 5, first_wait: float = 1.0, sleep: C
             sleep(first_wait * 2**n)
 
 
+class Patient:
+    """A client whose requests keep to a rate and are repeated when they fail."""
+
+    def __init__(self, client, rate: float | None = None, attempts: int = 5, sleep: Callable[[float], None] = time.sleep):
+        self.client, self.attempts, self.sleep = client, attempts, sleep
+        self.limiter = RateLimiter(rate, sleep=sleep) if rate else None
+
+    def _ask(self, call: Callable):
+        def once():
+            if self.limiter:
+                self.limiter.acquire()
+            return call()
+
+        return retried(once, self.attempts, sleep=self.sleep)
+
+    def search(self, term: str, start: int, size: int) -> tuple[list[str], int]:
+        return self._ask(lambda: self.client.search(term, start, size))
+
+    def fetch(self, ids: list[str]) -> bytes:
+        return self._ask(lambda: self.client.fetch(ids)) if ids else EMPTY_SET
+
+
 def search_all(client, term: str, page: int = 500) -> list[str]:
-    """All ids of a term, up to the cap, in order and once each."""
+    """All ids of a term, in order and once each; ValueError if a search can't page through them all."""
     ids, total = client.search(term, 0, page)
+    if total > SEARCH_CAP:
+        raise ValueError(f"{term}: {total} ids, of which a search gives {SEARCH_CAP} at most")
     found = list(ids)
-    while ids and len(found) < min(total, SEARCH_CAP):
+    while ids and len(found) < total:
         ids, _ = client.search(term, len(found), page)
         found += ids
-    return list(dict.fromkeys(x.strip() for x in found[:SEARCH_CAP] if x and x.strip()))
+    return list(dict.fromkeys(x.strip() for x in found if x and x.strip()))
 
 
 def search_year(client, journal: str, year: int, page: int = 500) -> list[str]:
-    """Ids of a journal and year; by months where a search can't reach them all."""
-    term = f'"{journal}"[TA] AND {year}[DP]'
-    if client.search(term, 0, 1)[1] <= SEARCH_CAP:
-        return search_all(client, term, page)
-    months = (search_all(client, f'"{journal}"[TA] AND {year}/{m:02d}[DP]', page) for m in range(1, 13))
-    return list(dict.fromkeys(x for ids in months for x in ids))
+    """Ids of a journal and year; by months, and by days, where a search can't reach them all."""
+    def within(date: str, levels: list[list[str]]) -> list[str]:
+        term = f'"{journal}"[TA] AND {date}[DP]'
+        if not levels or client.search(term, 0, 1)[1] <= SEARCH_CAP:
+            return search_all(client, term, page)
+        return [x for part in levels[0] for x in within(f"{date}/{part}", levels[1:])]
+
+    return list(dict.fromkeys(within(str(year), [MONTHS, DAYS])))
+
+
+#: Parts of a year and of a month in a search term.
+MONTHS, DAYS = [f"{m:02d}" for m in range(1, 13)], [f"{d:02d}" for d in range(1, 32)]
 
 
 def numeric_first(pmid: str) -> tuple[int, str]:
@@ -103,7 +136,8 @@ class ArticleReader(DataSourceReader):
     """Each bucket: ids of all its terms, the first term to list an id owning it, fetched in chunks."""
 
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root, self.client = options["path"], options.get("client", "litmill.sources.search:LandedClient")
+        self.rate = float(options["rate"]) if options.get("rate") else None
         self.journals = json.loads(options["journals"])
         self.years = range(int(options["first_year"]), int(options["last_year"]) + 1)
         self.chunk = int(options.get("chunk", 200))
@@ -113,7 +147,8 @@ class ArticleReader(DataSourceReader):
         return [Bucket(j, terms, y) for j, terms in self.journals.items() for y in self.years]
 
     def read(self, bucket: Bucket) -> Iterator[tuple]:
-        client = LandedClient(self.root)
+        module, _, name = self.client.partition(":")
+        client = Patient(getattr(importlib.import_module(module), name)(self.root), self.rate)
         owner: dict[str, str] = {}
         for term in bucket.terms:
             for pmid in search_year(client, term, bucket.year):

@@ -9,11 +9,12 @@ import subprocess
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from litmill.schemas import ENRICHMENT, conform, empty
+from litmill.session import written
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -204,7 +205,38 @@ def record_run(artifact: str, inputs: list[str], config: dict, spark: SparkSessi
 
 def save_index(vectors: DataFrame, path: str, id_column: str = "pmid") -> None:
     """Vectors with their dense row ids, in id order."""
-    rows = vectors.withColumn("row_id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(id_column)) - 1).cast("int"))
-    rows.write.mode("overwrite").parquet(path)
-
-
+    with_row_ids(vectors, [F.col(id_column).asc()]).withColumn("row_id", F.col("row_id").cast("int")).write.mode("overwrite").parquet(path)
+
+
+def with_row_ids(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFrame:
+    """Adds dense numbers from 0 in ``order``, which must tell rows apart. Ranges of rows are numbered on their own and
+    moved by what stands before them; one task sees a row for each range only."""
+    placed = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "row-ids")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(sizes.select(F.col("_part"), F.coalesce(before, F.lit(0)).alias("_before")))  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn("_own", own).join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_before", "_own")
+
+
+def flush_cache(spark: SparkSession, path: str, fresh: DataFrame, keys: list[str]) -> int:
+    """Adds looked-up rows to a cache table: a new answer replaces an old one of its keys. The rows now held."""
+    old = read_optional(spark, path)
+    new = fresh if old is None else upsert(old, fresh, keys)
+    replace_table(new, path)
+    return spark.read.parquet(path).count()
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Overwrites a table that ``df`` may read from: the new one is written beside it and takes its place by renaming,
+    so a failure leaves one of both."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(hadoop(path)):
+        files.delete(hadoop(f"{path}.old"), True)
+        files.rename(hadoop(path), hadoop(f"{path}.old"))
+    files.rename(hadoop(f"{path}.new"), hadoop(path))
+    files.delete(hadoop(f"{path}.old"), True)
+    spark.catalog.refreshByPath(path)
