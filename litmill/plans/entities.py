@@ -124,7 +124,7 @@ def _answers(spark, d) -> DataFrame:
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS pmid, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'p' || p_partkey END AS ss_id, '' AS ss_doi, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 50 END AS citation_count,
-CASE WHEN p_partkey % 5 = 0 OR p_partkey % 4 = 0 THEN 0 ELSE 2 + CASE WHEN (p_partkey + 1) % 2 = 0 THEN 1 ELSE 0 END END AS references_with_intent_count FROM part""")
+CASE WHEN p_partkey % 5 = 0 OR p_partkey % 4 = 0 THEN 0 ELSE 2 + CASE WHEN (p_partkey + 1) % 2 = 0 THEN 1 ELSE 0 END END::BIGINT AS references_with_intent_count FROM part""")
 def q_positional_papers(spark, d):
     return services.papers(_answers(spark, d), STAMP).drop("fetched_at")
 

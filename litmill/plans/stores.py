@@ -31,7 +31,7 @@ def q_union_by_name(spark, d):
     return tables.read(spark, f"{root}/*", ["doc_id", "lang", "source"])
 
 
-@query("SELECT 0::BIGINT AS missing, (SELECT count(*) FROM labels) AS held, 5 AS columns")
+@query("SELECT 0 AS missing, (SELECT count(*) FROM labels) AS held, 5 AS columns")
 def q_optional_table(spark, d):
     root = shared_folder(spark, "optional")
     rows = t(spark, d, "labels").select(F.col("doc_id").alias("pmid"), F.lit("r").alias("rater"), F.lit("f").alias("field"), F.col("quality").cast("string").alias("value"), F.lit(STAMP).alias("imported_at"))
