@@ -167,7 +167,7 @@ def row_key(id_column: str, text_column: str) -> Column:
 def lowest(rows: DataFrame, n: int, group: list[str]) -> DataFrame:
     """Of different rows (group ..., h, t) the ``n`` lowest (h, t) of each group. A group is first ranked in parts, so
     that no task sees more of it than ``n`` rows of each part."""
-    salt = F.pmod(F.xxhash64("h", "t"), F.lit(64))
+    salt = F.pmod(F.xxhash64("h", "t"), F.lit(16))
     nth = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "t"))
     some = rows.withColumn("salt", salt).withColumn("nth", F.dense_rank().over(Window.partitionBy(*group, "salt").orderBy("h", "t"))).filter(F.col("nth") <= n)
     return some.select(*group, "h", "t").distinct().withColumn("nth", nth(group or [F.lit(0)])).filter(F.col("nth") <= n).drop("nth")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import BROADCAST_KEYS, Scratch, components, expose_package, slices
+from litmill.llm.common import BROADCAST_KEYS, Scratch, components, expose_package, keys_to_join, row_key, slices, unused
 
 SLICE_BYTES = 2 << 20
 #: Members that one key's group may have within one task.
@@ -144,12 +144,12 @@ def segment_keys(words: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of unsigned fingerprints: (the index of the fingerprint, key)."""
+def golay_keys(fp: np.ndarray, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of unsigned fingerprints: (the index of the fingerprint, key); those of different kinds never meet."""
     each = [segment_keys(((fp >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64), bits) for at, bits in SEGMENTS]
     owners, keys = [], []
     for n, (i, j) in enumerate(combinations(range(3), 2)):
-        key = (n << 24) + (each[i][:, :, None] << 12) + each[j][:, None, :]
+        key = ((3 * kind + n) << 24) + (each[i][:, :, None] << 12) + each[j][:, None, :]
         valid = (each[i][:, :, None] >= 0) & (each[j][:, None, :] >= 0)
         owners.append(np.nonzero(valid)[0])
         keys.append(key[valid])
@@ -178,11 +178,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
+def names(values: np.ndarray) -> np.ndarray:
+    """What fingerprints of one or more 64-bit words (rows) are called as nodes: the word itself, or a hash."""
+    with np.errstate(over="ignore"):
+        out = values[:, 0].copy()
+        for word in values.T[1:]:
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
+    return out.view(np.int64)
+
+
 class Linker:
     """Takes runs of (group, value) in the groups' order and yields what is within ``bits`` bits, as a forest."""
 
-    def __init__(self, bits: int, group: int | None):
-        self.bits, self.group = bits, group
+    def __init__(self, bits: int):
+        self.bits = bits
         self.left: list[np.ndarray] = []
         self.right: list[np.ndarray] = []
         self.held = 0
@@ -195,10 +204,10 @@ class Linker:
             at = at[group[at] == group[at + step]]
             if not len(at):
                 break
-            near = at[np.bitwise_count(value[at] ^ value[at + step]) <= self.bits]
+            near = at[np.bitwise_count(value[at] ^ value[at + step]).sum(axis=1, dtype=np.int64) <= self.bits]
             if len(near):
-                self.left.append(value[near].view(np.int64))
-                self.right.append(value[near + step].view(np.int64))
+                self.left.append(names(value[near]))
+                self.right.append(names(value[near + step]))
                 self.held += len(near)
                 if self.held > HELD:
                     self.reduce()
@@ -209,30 +218,39 @@ class Linker:
             a, b = forest(np.concatenate(self.left), np.concatenate(self.right))
             self.left, self.right, self.held = [a], [b], len(a)
 
-    def take(self) -> pa.RecordBatch:
+    def take(self, words: int) -> pa.RecordBatch:
         self.reduce()
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.left, self.right))
         self.left, self.right, self.held = [], [], 0
-        return _links(a, b, np.full(len(a), -1))
+        return _links(a, b, np.full(len(a), -1), np.zeros((len(a), words), np.uint64))
+
 
+def _links(a: np.ndarray, b: np.ndarray, block: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    columns = [a, b, block, *value.view(np.int64).T]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in columns], ["a", "b", "block", *_words(value.shape[1])])
 
-def _links(a: np.ndarray, b: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(block, pa.int64())], ["a", "b", "block"])
 
+def _words(n: int) -> list[str]:
+    return [f"word{i}" for i in range(n)]
 
-def link_sorted(batches: Iterator[pa.RecordBatch], bits: int, limit: int | None) -> Iterator[pa.RecordBatch]:
-    """Links (a, b, -1) of rows (group, value) that come sorted by group. A group of over ``limit`` rows is not
-    compared: its rows come out as (value, group, block) for the second step."""
-    linker = Linker(bits, limit)
-    group, value = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+def link_sorted(batches: Iterator[pa.RecordBatch], bits: int, limit: int | None, words: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, -1) of rows (group, value ...) that come sorted by group. A group of over ``limit`` rows is not
+    compared: its rows come out as (group, 0, block, value ...) for the second step."""
+    linker = Linker(bits)
+    group, value = np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
     large, seen = None, 0  # the group that is being passed on, and how many of its rows have gone
+
+    def passed(group: np.ndarray, value: np.ndarray, first: int) -> pa.RecordBatch:
+        return _links(group, np.zeros(len(group), np.int64), (first + np.arange(len(group))) // limit, value)
+
     for batch in batches:
         new_group = batch.column(0).to_numpy()
-        new_value = batch.column(1).to_numpy().view(np.uint64)
+        new_value = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(words)], axis=1)
         if large is not None:
             n = int(np.searchsorted(new_group != large, True)) if (new_group != large).any() else len(new_group)
             if n:
-                yield _links(new_value[:n].view(np.int64), new_group[:n], (seen + np.arange(n)) // limit)
+                yield passed(new_group[:n], new_value[:n], seen)
                 seen += n
             new_group, new_value = new_group[n:], new_value[n:]
             if not len(new_group):
@@ -246,47 +264,51 @@ def link_sorted(batches: Iterator[pa.RecordBatch], bits: int, limit: int | None)
         if limit is not None and last:  # a large group may end within this batch
             _, start, size = np.unique(done_group, return_index=True, return_counts=True)
             for i, n in zip(start[size > limit], size[size > limit], strict=True):
-                yield _links(done_value[i : i + n].view(np.int64), done_group[i : i + n], np.arange(n) // limit)
+                yield passed(done_group[i : i + n], done_value[i : i + n], 0)
             if (size > limit).any():
                 small = np.repeat((size <= limit)[np.argsort(np.argsort(start))], size[np.argsort(start)])
                 done_group, done_value = done_group[small], done_value[small]
         linker.pairs(done_group, done_value)
         if limit is not None and len(group) > limit:
             large, seen = int(group[0]), len(group)
-            yield _links(value.view(np.int64), group, np.arange(seen) // limit)
+            yield passed(group, value, 0)
             group, value = group[:0], value[:0]
         if linker.held > HELD:
             linker.reduce()
             if linker.held > HELD:
-                yield linker.take()
+                yield linker.take(words)
     linker.pairs(group, value)
-    yield linker.take()
+    yield linker.take(words)
 
 
-def hamming_links(scratch: Scratch, values: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct ``fp`` within four bits."""
+def hamming_links(scratch: Scratch, values: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """Links (a, b) between the ``names`` of fingerprints, whose columns are their 64-bit words: their components are
+    those of all pairs within ``bits`` bits that share a key of one word. Within four bits of one word all pairs do."""
+    words = len(values.columns)
+    fields = [f"word{i}" for i in range(words)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
+            fp = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns], axis=1)
             for i in range(0, len(fp), 4096):
                 part = fp[i : i + 4096]
-                owner, key = golay_keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[owner].view(np.int64))], ["key", "fp"])
-
-    keyed = values.select("fp").mapInArrow(emit, "key long, fp long")
-    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: link_sorted(b, MAX_BITS, GROUP), "a long, b long, block long")
+                for kind in range(words):
+                    owner, key = golay_keys(part[:, kind], kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[owner].view(np.int64)) for x in np.ascontiguousarray(part.T))], ["key", *fields])
+
+    schema = ", ".join(f"{x} long" for x in fields)
+    linked = f"a long, b long, block long, {schema}"
+    keyed = values.mapInArrow(emit, f"key long, {schema}")
+    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: link_sorted(b, bits, GROUP, words), linked)
     near = scratch.write(near)
-    large = near.filter("block >= 0").select(F.col("b").alias("key"), F.col("a").alias("fp"), "block")
+    large = near.filter("block >= 0").select(F.col("a").alias("key"), "block", *fields)
     links = near.filter("block < 0").select("a", "b")
     if large.isEmpty():
         return links
     blocks = large.groupBy("key").agg((F.max("block") + 1).alias("n"))
-    pairs = large.join(blocks, "key").select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"), "key", "fp", "block"
-    )
-    dealt = pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp")
-    more = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: link_sorted(b, MAX_BITS, None), "a long, b long, block long")
+    pairs = large.join(blocks, "key").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"), "key", "block", *fields)
+    dealt = pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), *fields)
+    more = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: link_sorted(b, bits, None, words), linked)
     return links.union(scratch.write(more).select("a", "b"))
 
 
@@ -294,36 +316,30 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_column: str = "doc_id",
     """Per row of ``docs``: id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.write(fingerprints(docs, width, id_column, text_column))
-    values = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(scratch, hamming_links(scratch, values))
-    grouped = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    grouped = scratch.write(grouped)
+    values = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = components(scratch, hamming_links(scratch, values.select("fp")))
+    grouped = values.join(roots, F.col("fp") == F.col("node"), "left").filter("n > 1 OR root IS NOT NULL")
+    grouped = scratch.write(grouped.select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_value = grouped.join(named, "root").select("fp", "component_id")
-    return rows.join(of_value, "fp").select(
-        F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    of_value = scratch.write(grouped.join(named, "root").select("fp", "component_id"))  # of those that aren't alone
+    return rows.join(keys_to_join(of_value, BROADCAST_KEYS // 2), "fp", "left").select(
+        F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame, width: int = 4, id_column: str = "doc_id", text_column: str = "text", grouped: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
-    """The rows of ``docs``, with their own columns, without the near duplicates: one row of each component stays.
-    Components are those of the fingerprints, or what ``grouped`` gives for (docs, id, text).
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame, str, str], DataFrame], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their own columns, without the near duplicates: of each component that ``grouped``
+    gives for (docs, id, text) one row stays.
 
-    Rows are told apart by a hash of id and text, so null and repeated ids do no harm; which row stays depends on
-    that hash alone. Rows of equal id and text are left as one."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_column).isNull(), id_column, F.col(text_column).isNull(), text_column))
-    found = grouped(keyed, "_key", text_column) if grouped else near_duplicates(keyed, width, "_key", text_column)
-    groups = Scratch(docs.sparkSession, "keep").write(found.select("_key", "component_id"))
-    repeated = groups.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key")
-    repeated = repeated.join(groups.filter("_key = component_id").select("_key").distinct(), "_key", "left_semi")
-    gone = groups.filter("_key <> component_id").select("_key").union(repeated).distinct()
-    left = keyed.join(_small_or_hashed(gone), "_key", "left_anti")
+    Rows are told apart by a hash of id and text, so null and repeated ids do no harm; the row of the smallest hash
+    stays. Rows of equal id and text are left as one."""
+    key = unused(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(id_column, text_column))
+    groups = Scratch(docs.sparkSession, "keep").write(grouped(keyed, key, text_column).select(F.col(key).alias("key"), "component_id"))
+    repeated = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    repeated = repeated.join(groups.filter("key = component_id").select("key").distinct(), "key", "left_semi").withColumnRenamed("key", key)
+    gone = groups.filter("key <> component_id").select(F.col("key").alias(key)).union(repeated).distinct()
+    left = keyed.join(keys_to_join(gone), key, "left_anti")
     if not repeated.isEmpty():
-        again = keyed.join(_small_or_hashed(repeated), "_key", "left_semi").dropDuplicates(["_key"])
-        left = left.unionByName(again)
+        left = left.unionByName(keyed.join(keys_to_join(repeated), key, "left_semi").dropDuplicates([key]))
     return left.select(*[F.col(c) for c in docs.columns])
-
-
-def _small_or_hashed(keys: DataFrame) -> DataFrame:
-    """For the right side of a join: neither way sorts the documents, and the first doesn't shuffle them."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_hash")

@@ -17,12 +17,14 @@ def vectors():
     return [(i, v, k, "x") for i, v, k in rows]
 
 
-@pytest.mark.parametrize(("shard", "block"), [(1000, 2048), (120, 60)])
+@pytest.mark.parametrize(("shard", "block"), [(1000, 2048), (60, 150), (20, 40)])
 def test_against_brute_force(spark, monkeypatch, shard, block):
     monkeypatch.setattr(E, "SHARD", shard)
     monkeypatch.setattr(E, "BLOCK", block)
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node string")
+    seen = []
+    monkeypatch.setattr(E, "audit", lambda *a, audit=E.audit: seen.append(audit(*a)) or seen[-1])
     got = {r.vec_id: r for r in E.near_duplicates(df).collect()}
     assert len(got) == len(rows)
     links = {i: set() for i, *_ in rows}
@@ -50,4 +52,40 @@ def test_against_brute_force(spark, monkeypatch, shard, block):
                         root[x] = i
                         stack.append(x)
     assert sum(got[i].component_id == root[i] for i in links) >= 0.97 * len(links)
-    assert E.near_duplicates(df.limit(0)).count() == 0
+    assert seen[-1] >= E.LEAST_RECALL and E.near_duplicates(df.limit(0)).count() == 0
+
+
+def brute_links(rows):
+    links = {i: set() for i, *_ in rows}
+    v = np.array([x for _, x, _ in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for a, b in zip(*np.nonzero(v @ v.T >= 0.98), strict=True):
+        if a != b and rows[a][2] == rows[b][2]:
+            links[rows[a][0]].add(rows[b][0])
+    return links
+
+
+def test_neighbours_in_other_shards_are_found(spark, monkeypatch):
+    """Small shards cut through the groups; the united lists lead across."""
+    monkeypatch.setattr(E, "SHARD", 24)
+    monkeypatch.setattr(E, "BLOCK", 10_000)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(120):
+        centre = rng.normal(size=12)
+        rows += [(len(rows) + j, (centre + 0.06 * rng.normal(size=12)).tolist(), 0) for j in range(5)]
+    links = brute_links(rows)
+    got = {r.vec_id: r.n_links for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(map(len, links.values())) > 1000
+    assert all(got[i] <= len(x) for i, x in links.items()) and sum(got.values()) >= 0.95 * sum(map(len, links.values()))
+
+
+def test_failing_search_is_noticed(spark, monkeypatch):
+    rows = [r[:3] for r in vectors() if r[0] >= 0]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(E, "range_search", lambda v, lists, q, threshold, beam: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    links = brute_links(rows)
+    assert {r.vec_id: r.n_links for r in E.near_duplicates(df).collect()} == {i: len(x) for i, x in links.items()}
+    nodes = E.nodes_of(df.select(df.vec_id.alias("id"), "embedding", "label"))
+    assert E.audit(nodes, spark.createDataFrame([], "node long, linked long"), 0.98) == 0.0
+    assert E.audit(nodes, spark.createDataFrame([], "node long, linked long"), 1.5) is None

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 
 from litmill.llm import language_id as L
+from litmill.llm.common import lowest
 
 WORDS = {"en": "the knee was then treated with this other method and there they saw those results again".split(), "de": "das knie wurde dann mit dieser anderen methode behandelt und dort sahen sie jene ergebnisse wieder".split()}
 
@@ -74,3 +75,68 @@ def _prefix_bits(scorer, prefix):
             logp = np.where(np.isnan(seen), logp + np.nan_to_num(back), seen)
         total += logp
     return total
+
+
+class Counted:
+    """Interpolated Kneser-Ney probabilities of framed words, from dictionaries."""
+
+    def __init__(self, words, alphabet):
+        self.base = 1 / alphabet
+        raw, before = [{} for _ in range(L.ORDER + 1)], [{} for _ in range(L.ORDER + 1)]
+        for word, n in words.items():
+            s = L.START + word + L.END
+            for i in range(1, len(s)):
+                for k in range(1, min(L.ORDER, i + 1) + 1):
+                    gram = s[i - k + 1 : i + 1]
+                    raw[k][gram] = raw[k].get(gram, 0) + n
+                    if i - k >= 0:
+                        before[k].setdefault(gram, set()).add(s[i - k])
+        self.n = [{}] + [{g: n if k == L.ORDER or g[0] == L.START else len(before[k][g]) for g, n in raw[k].items()} for k in range(1, L.ORDER + 1)]
+        self.context = [{} for _ in self.n]
+        self.discount = [0.0]
+        for k in range(1, L.ORDER + 1):
+            once, twice = (sum(v == x for v in self.n[k].values()) for x in (1, 2))
+            self.discount.append(once / (once + 2 * twice) if once and twice else 0.5)
+            for gram, n in self.n[k].items():
+                total, kinds = self.context[k].get(gram[:-1], (0, 0))
+                self.context[k][gram[:-1]] = (total + n, kinds + (n > 0))
+
+    def p(self, gram):
+        k = len(gram)
+        lower = self.p(gram[1:]) if k > 1 else self.base
+        if gram[:-1] not in self.context[k]:
+            return lower
+        total, kinds = self.context[k][gram[:-1]]
+        d = self.discount[k]
+        return max(self.n[k].get(gram, 0) - d, 0) / total + d * kinds / total * lower
+
+    def bits(self, word):
+        s = L.START + word + L.END
+        return sum(np.log2(self.p(s[max(0, i - L.ORDER + 1) : i + 1])) for i in range(1, len(s)))
+
+
+def test_probabilities_by_brute_force():
+    rng = np.random.default_rng(3)
+    make = lambda letters: "".join(rng.choice(list(letters), rng.integers(1, 9)))
+    counts = {lang: {make(letters): int(rng.integers(1, 6)) for _ in range(300)} for lang, letters in (("aa", "abcdefé"), ("bb", "cdefghß"))}
+    words = pd.DataFrame([(lang, w, n) for lang, ws in counts.items() for w, n in ws.items()], columns=["lang", "word", "n"])
+    model = L.fit(words)
+    own = [Counted(counts[lang], len(set("".join(words["word"]))) + 2) for lang in model.languages]
+    scorer = L.Scorer(model)
+    asked = [make("abcdefghéßz") for _ in range(300)] + list(counts["aa"])[:50] + ["ü", "zzzzzzzzzz"]
+    got = scorer._log2(asked)
+    for word, row in zip(asked, got, strict=True):
+        assert np.allclose(row[:2], [c.bits(word) for c in own], atol=1e-3) and row[2] == len(word) + 1
+    texts = [" ".join(asked[i : i + 5]) + "!" for i in range(0, 300, 5)]
+    best, *_ = scorer.predict(texts)
+    want = [int(np.argmax([sum(c.bits(w) for w in t[:-1].split()) for c in own])) for t in texts]
+    assert best.tolist() == want
+
+
+def test_sample_is_bounded_and_whole(spark):
+    """Many rows of one id don't make the sample grow, and equal rows count once."""
+    rows = [(1, f"the knee number {i}", "en") for i in range(300)] + [(2, "das knie", "de")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.train(docs, sample_rows=7) is not None
+    low = lowest(docs.selectExpr("lang", "xxhash64(cast(doc_id as string)) AS h", "xxhash64(text) AS t"), 7, ["lang"]).collect()
+    assert sorted(r.lang for r in low) == ["de"] + ["en"] * 7

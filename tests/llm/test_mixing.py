@@ -10,7 +10,7 @@ def docs(spark, n=1500):
     source = lambda i: ["a", "b", "c", None, "é", "tiny"][min(5, int(rng.random() ** 2 * 6))] if i % 50 else "tiny"
     rows = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 40, 400])), source(i), "x") for i in range(n)]
     rows += [(9001, None, "a", "x"), (9002, " \n", "b", "x"), (9003, "same text", "c", "x"), (9003, "same text", "c", "x"), (None, "a b c", "a", "x"), (9004, "w " * 3000, "b", "x"), (9005, "", "empty", "x")]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, target string")
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, own_hash string")
 
 
 def expected_targets(sizes):

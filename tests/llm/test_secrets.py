@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -44,3 +45,44 @@ def test_ratio_by_brute_force(spark):
     for r in df.select("t", S.ratio(df.t, table).alias("x")).collect():
         want = sum(table[S.ALPHABET.index(a) * len(S.ALPHABET) + S.ALPHABET.index(b)] for a, b in zip(r.t, r.t[1:], strict=False))
         assert abs(r.x - want) < 1e-6
+
+
+def test_columns_and_many_spans(spark):
+    many = " ".join(f"q8Zx71LmP0vNc3RtYw{i:04d}K deadbeef" + "0" * 16 for i in range(4000))
+    df = spark.createDataFrame([(1, many), (1, many), (2, "x")], "doc_id long, text string")
+    table = [1.0] * len(S.ALPHABET) ** 2
+    rows = S.scan(df, table).collect()
+    assert rows[0].__fields__ == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model"] and len(rows) == 3
+    assert [(r.n_hex, r.n_model) for r in rows if r.doc_id == 1] == [(4000, 4000)] * 2
+
+
+def test_model_by_brute_force(spark):
+    """The table is that of character pairs counted by hand, and it tells random strings from identifiers."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxyz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    docs = [(i, " ".join(word() for _ in range(60))) for i in range(60)] + [(7, None), (None, "secret words")] + [(3, "same same")] * 50
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    table = S.train(df)
+    counts = {"random": {}, "ordinary": {}}
+    for r in S.random_strings(spark).unionByName(S.ordinary_identifiers(df, "doc_id", "text")).collect():
+        for pair in zip(r.token, r.token[1:], strict=False):
+            counts[r.label][pair] = counts[r.label].get(pair, 0) + 1
+
+    def log(label, a, b):
+        total = sum(counts[label].get((a, x), 0) for x in S.ALPHABET) + len(S.ALPHABET)
+        return math.log((counts[label].get((a, b), 0) + 1) / total)
+
+    want = [log("random", a, b) - log("ordinary", a, b) for a in S.ALPHABET for b in S.ALPHABET]
+    assert max(abs(x - y) for x, y in zip(table, want, strict=True)) < 1e-9
+    keys = ["".join(rng.choice(S.ALPHABET[:62]) for _ in range(32)) for _ in range(300)]
+    plain = [rng.choice(["{}_{}_{}_{}", "{}-{}-{}-{}", "{}/{}/{}/{}"]).format(*(word() for _ in range(4))).ljust(20, "a") + "1" for _ in range(300)]
+    both = spark.createDataFrame([(i, t) for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    hit = {r.doc_id: r.n_model > 0 for r in S.scan(both, table).collect()}
+    recall, wrong = sum(hit[i] for i in range(300)) / 300, sum(hit[i] for i in range(300, 600)) / 300
+    assert recall >= 0.95 and wrong <= 0.02, (recall, wrong)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Many rows of one id don't make the sample grow."""
+    df = spark.createDataFrame([(1, f"word{i} other") for i in range(500)] + [(2, "second one")], "doc_id long, text string")
+    assert S.ordinary_identifiers(df, "doc_id", "text", n=3).count() <= 3 * 2 * 10

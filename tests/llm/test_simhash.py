@@ -76,9 +76,9 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch):
 def test_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(300))
     rows = [(1, long, "de", 1), (2, long + " x", "de", 2), (None, long, "fr", 3), (3, "other text here now", None, 4), (3, "yet another text here", None, 5), (None, None, None, 6), (None, "alone " * 3, None, 7), (4, "twice", None, 8), (4, "twice", None, 8)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _own int")
-    kept = S.keep_one(df).collect()
-    assert kept[0].__fields__ == ["doc_id", "text", "lang", "_own"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key string, _own int")
+    kept = S.keep_one(df, lambda d, i, t: S.near_duplicates(d, 4, i, t)).collect()
+    assert kept[0].__fields__ == ["doc_id", "text", "row_key", "_own"]
     assert sum(r._own in (1, 2, 3) for r in kept) == 1 and sorted(r._own for r in kept if r._own > 3) == [4, 5, 6, 7, 8]
 
 
