@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, near-dedup by shingles, benchmark decontamination, mixing, token file.
+"""The corpus pipeline: language ID, SimHash near-dedup, benchmark decontamination, mixing, token file.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 docs of the next. All but the last return the columns of ``documents``; the last returns the digest of the token
@@ -25,8 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
-    return keep_one(docs, grouped=near_copies)
+    """One document of each group that SimHash links between sets of five-word shingles of a similarity of 0.8 or more
+    connect; the one of the smallest hash of id and text stays."""
+    return keep_one(docs, near_copies)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
