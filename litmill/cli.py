@@ -17,6 +17,14 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("--journals", required=True, help="JSON of slug to search terms")
     x.add_argument("--years", nargs=2, type=int, required=True)
     x.add_argument("--out", required=True)
+    x.add_argument("--client", help="what makes the client, as module:function")
+    x.add_argument("--rate", type=float, help="requests a second of each task")
+    x = c.add_parser("demo", help="a small corpus of one journal")
+    x.add_argument("--landed", required=True)
+    x.add_argument("--journal", required=True)
+    x.add_argument("--years", nargs=2, type=int, required=True)
+    x.add_argument("--out", required=True)
+    x.add_argument("-n", type=int, default=100)
     x = c.add_parser("enrich", help="enrichment tables from landed works")
     x.add_argument("--works", required=True)
     x.add_argument("--out", required=True)
@@ -29,9 +37,11 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("--model", default="mpnet")
     x.add_argument("--limit", type=int)
     x.add_argument("--dry-run", action="store_true")
-    x = c.add_parser("index", help="vectors with dense row ids")
+    x = c.add_parser("index", help="an index for nearest neighbours, and vectors with dense row ids")
     x.add_argument("--embeddings", required=True)
     x.add_argument("--out", required=True)
+    x.add_argument("--m", type=int, default=32)
+    x.add_argument("--ef-construction", type=int, default=200)
     x = c.add_parser("topics", help="sweep, fit and hierarchy")
     x.add_argument("--embeddings", required=True)
     x.add_argument("--papers", required=True)
@@ -62,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     from pyspark.sql import functions as F
 
-    from litmill.operators import labels, topics
+    from litmill.operators import index, labels, topics
     from litmill.plans import jobs
     from litmill.sources import services, tables
     from litmill.sources.search import ArticleSource
@@ -76,7 +86,13 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "harvest":
         spark.dataSource.register(ArticleSource)
         source = spark.read.format("articles").option("path", args.landed).option("journals", args.journals).option("first_year", args.years[0]).option("last_year", args.years[1])
+        source = source.option("client", args.client) if args.client else source
+        source = source.option("rate", args.rate) if args.rate else source
         print(jobs.harvest(source.load(), args.out))
+    elif args.command == "demo":
+        counts = jobs.demo(spark, args.landed, args.out, args.journal, *args.years, args.n)
+        print(counts)
+        return 0 if counts["papers"] else 1
     elif args.command == "enrich":
         works = spark.read.text(args.works, wholetext=True)
         rows = works.select(F.explode(F.from_json("value", "results array<string>").getField("results")).alias("j")).select(F.from_json("j", services.WORK).alias("w")).select("w.*")
@@ -100,7 +116,13 @@ def main(argv: list[str] | None = None) -> int:
             out.write.mode("overwrite").parquet(args.out)
             tables.record_run(args.out, [args.papers], vars(args))
     elif args.command == "index":
-        tables.save_index(spark.read.parquet(args.embeddings), args.out)
+        vectors = spark.read.parquet(args.embeddings)
+        try:
+            index.save(index.build(vectors, args.m, args.ef_construction), f"{args.out}/index")
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
+        tables.save_index(vectors, f"{args.out}/rows")
     elif args.command == "topics":
         result = jobs.topic_model(spark.read.parquet(args.embeddings), tables.read(spark, args.papers), topics.grid(topics.TopicConfig(), min_cluster_size=args.min_cluster))
         for name, df in result.items():
