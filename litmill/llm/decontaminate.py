@@ -1,22 +1,26 @@
 """Operator 8: benchmark decontamination by template windows.
 
 Words are lower-cased and stripped of punctuation; numbers, names (capitalised words within a sentence) and units
-after a number become typed placeholders. Every window of ``WINDOW`` template words of a document is looked up among
-the windows of the benchmark by hash. Windows that match an item's are aligned; what stands in an item's slot must
-map one to one to what stands there in the document: if the mapping of most holds for less than ``MIN_CONSISTENT`` of
-the places the match is dropped, and windows that break it do not count. Each occurrence
-of an item is judged by itself, also where others follow closely. A document is contaminated by an item if
-windows that count cover ``MIN_COVERAGE`` of the item's words. So an item is found whole, in good part, and with its
-numbers, names or units exchanged throughout.
-
-Items of the same template and the same pattern of equal slots are one: reported is the lowest id and how many
-there are. Items of fewer than ``WINDOW`` words are one window of their own length; items with fewer than
-``MIN_LITERALS`` words that are not placeholders can't be told from ordinary text and match nothing, and neither do
-such windows. The windows of the benchmark are broadcast in parts of at most ``PART_WINDOWS``; a larger benchmark
-takes one pass over the documents for each part, with the same result.
-
-Null texts and items match nothing; repeated documents give repeated rows; an item without id is reported as null;
-an empty table of either kind gives an empty result, or keeps all documents.
+after a number become typed placeholders. Every window of ``WINDOW`` template words of the benchmark and of the documents
+has a hash; a window of fewer than ``MIN_LITERALS`` words that are not placeholders can't be told from ordinary text, so
+the hash is that of its very words. Both window tables are joined by hash. Windows that match an item's are aligned; what
+stands in an item's slot must map one to one to what stands there in the document: if the mapping of most holds for less
+than ``MIN_CONSISTENT`` of the places the match is dropped, and windows that break it do not count. Each occurrence of an
+item is judged by itself, also where others follow closely. A document is contaminated by an item if windows that count
+cover ``MIN_COVERAGE`` of the item's words. So an item is found whole, in good part, and with its numbers, names or units
+exchanged throughout; one with hardly a plain word is found as it is.
+
+Items of the same template and the same pattern of equal slots are one: reported is the lowest id and how many there
+are. Items of fewer than ``WINDOW`` words are one window of their own length; those of fewer than ``MIN_LITERALS`` words
+match nothing.
+
+Before the join, windows of documents are looked up in a bit map of all hashes of the benchmark, whose size is fixed
+(``MAP_BITS``); it decides nothing, so a benchmark that fills it costs time and no result. The window table of the benchmark
+is broadcast up to ``BROADCAST_ROWS`` rows and shuffled beyond.
+
+Null texts and items match nothing; texts are read whole; repeated documents give repeated rows; an item without id is
+reported as null; extra columns are carried along by ``keep_clean`` whatever their names; an empty table of either kind
+gives an empty result, or keeps all documents.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ from __future__ import annotations
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import expose_package, only, slices
+from litmill.llm.common import BROADCAST_ROWS, Scratch, expose_package, keys_to_join, only, row_key, slices, unused
 
 WINDOW, MIN_LITERALS, MIN_COVERAGE, MIN_CONSISTENT = 8, 4, 0.5, 0.8
-PART_WINDOWS = 1_000_000
+#: Bits of the map of the benchmark's hashes: 8 MB.
+MAP_BITS = 26
 SLICE_BYTES, CACHE_WORDS = 2 << 20, 300_000
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
+STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Number words and unit words.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNIT_WORDS = (
@@ -81,8 +86,8 @@ class Templates:
             self.flags[at] = (digits or low in self.numbers) | 2 * (low in self.units) | 4 * (bare[:1].isupper() and bare[1:].islower() and bare.isalpha()) | 8 * word.endswith(ENDS)
             self.index[word] = at
 
-    def words(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-        """(words of each text, how many, template hashes of all, kinds of all)."""
+    def words(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words of each text, how many, template hashes of all, kinds of all, hashes of the words themselves)."""
         split = [t.split() for t in texts]
         if len(self.index) > CACHE_WORDS:
             self.index = {}
@@ -101,88 +106,141 @@ class Templates:
         kinds[(flags & 4 > 0) & (before & 8 == 0)] = NAME
         kinds[(flags & 2 > 0) & (before & 1 > 0)] = UNIT
         kinds[flags & 1 > 0] = NUMBER
-        return split, many, np.where(kinds > 0, self.placeholder[kinds], hashes), kinds
+        return split, many, np.where(kinds > 0, self.placeholder[kinds], hashes), kinds, hashes
 
 
-def window_hashes(hashes: np.ndarray, kinds: np.ndarray, many: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the window of ``width`` words that begins at each word; 0 where none does or too few are literal."""
+def window_hashes(hashes: np.ndarray, kinds: np.ndarray, plain: np.ndarray, many: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the window of ``width`` words that begins at each word, of its template or, where too few words are
+    literal, of the words; 0 where no window begins."""
     out = np.zeros(len(hashes), np.uint64)
     n = len(hashes) - width + 1
     if n <= 0:
         return out
-    acc = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(width):
-            acc = acc * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
-        acc = (acc ^ (acc >> np.uint64(31))) | np.uint64(1)
     literal = np.concatenate((np.zeros(1, np.int64), np.cumsum(kinds == PLAIN)))
     place = np.arange(len(hashes)) - np.repeat(np.cumsum(many) - many, many)
-    left = np.repeat(many, many) - place
-    fits = (left[:n] >= width) & (literal[width:] - literal[:-width] >= MIN_LITERALS)
+    fits = (np.repeat(many, many) - place)[:n] >= width
+    few = np.flatnonzero(fits & (literal[width:] - literal[:-width] < MIN_LITERALS))
+    acc, own = np.zeros(n, np.uint64), np.full(len(few), width, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            acc = acc * STEP + hashes[i : i + n]
+            own = own * STEP + plain[few + i]
+        acc[few] = own * STEP
+        acc = (acc ^ (acc >> np.uint64(31))) * STEP
+        acc = (acc ^ (acc >> np.uint64(29))) | np.uint64(1)
     out[:n] = np.where(fits, acc, 0)
     return out
 
 
-@dataclass
-class Item:
-    """A template of the benchmark."""
+def _surfaces(words: list[str]) -> list[str]:
+    return [w.strip(STRIP).lower() for w in words]
 
-    item_id: int | None
-    surfaces: list[str]
-    kinds: np.ndarray
-    items: int = 1
 
+def _slots(kinds: np.ndarray) -> list[int]:
+    """Where the placeholders of a window are; none where the hash is that of the words."""
+    at = np.flatnonzero(kinds).tolist()
+    return at if len(kinds) - len(at) >= MIN_LITERALS else []
 
-@dataclass
-class Index:
-    """Windows of templates, sorted by hash for each width."""
 
-    items: list[Item]
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # hash, item, place
+def benchmark_templates(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Rows (template: a hash of the template and the pattern of equal slots, item_id: the lowest, n_items, text: of that item)."""
 
-    def filters(self) -> dict[int, np.ndarray]:
-        """A bit map of 2^20 hash prefixes per width."""
-        out = {}
-        for width, (hashes, _, _) in self.windows.items():
-            out[width] = np.zeros(1 << 20, bool)
-            out[width][(hashes >> np.uint64(44)).astype(np.int64)] = True
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
 
+        templates = Templates()
+        for batch in batches:
+            keys: list[bytes | None] = []
+            for text in batch.column(1).to_pylist():
+                (words,), _, hashes, kinds, _ = templates.words([text])
+                slots = [s for s, k in zip(_surfaces(words), kinds, strict=True) if k]
+                key = xxh3_128_digest(hashes.tobytes() + np.array([slots.index(s) for s in slots], np.int64).tobytes())
+                keys.append(key if len(words) >= MIN_LITERALS else None)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *batch.columns], ["template", "id", "text"])
 
-def _surfaces(words: list[str]) -> list[str]:
-    return [w.strip(STRIP).lower() for w in words]
+    rows = benchmark.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).filter("text IS NOT NULL")
+    keyed = rows.mapInArrow(run, "template binary, id long, text string").filter("template IS NOT NULL")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text"))
+    return keyed.groupBy("template").agg(first.alias("first"), F.count(F.lit(1)).alias("n_items")).select("template", F.col("first.id").alias("item_id"), "n_items", F.col("first.text").alias("text"))
+
+
+SLOT = "array<struct<at:int,kind:int,surface:string>>"
+
+
+def benchmark_windows(templates: DataFrame) -> DataFrame:
+    """Rows (hash, width, template, item_id, n_items, words, q: the place of the window in the item, slots: the
+    placeholders in it) of all windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Templates()
+        for batch in batches:
+            out: list[tuple] = []
+            for template, item_id, n_items, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (words,), many, hashes, kinds, plain = reader.words([text])
+                surfaces, width = _surfaces(words), min(WINDOW, len(words))
+                own = window_hashes(hashes, kinds, plain, many, width).view(np.int64)
+                for q in np.flatnonzero(own).tolist():
+                    slots = [{"at": i, "kind": int(kinds[q + i]), "surface": surfaces[q + i]} for i in _slots(kinds[q : q + width])]
+                    out.append((int(own[q]), width, template, item_id, n_items, len(words), q, slots))
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("surface", pa.string())]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], x) for n, x in enumerate(types)], ["hash", "width", "template", "item_id", "n_items", "words", "q", "slots"])
+
+    return templates.select("template", "item_id", "n_items", "text").mapInArrow(run, f"hash long, width int, template binary, item_id long, n_items long, words int, q int, slots {SLOT}")
+
+
+def bit_map(windows: DataFrame) -> np.ndarray:
+    """A bit for the leading ``MAP_BITS`` bits of every hash. Executors fill parts of 4096 bits each."""
+    chunk = F.shiftrightunsigned("hash", 64 - MAP_BITS + 12)
+    bit = F.shiftrightunsigned("hash", 64 - MAP_BITS).bitwiseAND(F.lit(4095))
+    set_ = windows.select(chunk.alias("chunk"), F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    words = set_.groupBy("chunk", "word").agg(F.bit_or("bit").alias("bits"))
+    packed = words.groupBy("chunk").agg(F.collect_list(F.struct("word", "bits")).alias("words"))  # 64 words a chunk at most
+    for row in packed.collect():  # 2 ** (MAP_BITS - 12) rows at most
+        for w in row.words:
+            out[(row.chunk << 6) + w.word] = np.uint64(w.bits % (1 << 64))
+    return out
+
+
+def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - 5 - len(bits).bit_length())
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def document_windows(docs: DataFrame, bits: np.ndarray, widths: list[int], id_column: str, text_column: str) -> DataFrame:
+    """Rows (doc, id, hash, width, p: the first word, values: what stands in its placeholders, copies: equal rows) of the
+    windows that may be the benchmark's."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(bits), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, templates = only(("benchmark", key), lambda: (sent.value, Templates()))
+        for batch in batches:
+            text = pc.fill_null(batch.column(2), "")
+            for i, j in slices(text, SLICE_BYTES):
+                split, many, hashes, kinds, plain = templates.words(text.slice(i, j - i).to_pylist())
+                starts = np.cumsum(many) - many
+                of, out = [], []
+                for width in widths:
+                    own = window_hashes(hashes, kinds, plain, many, width)
+                    at = np.flatnonzero(_in_map(known, own) & (own > 0))
+                    for p, row in zip(at.tolist(), (np.searchsorted(starts + many, at, "right")).tolist(), strict=True):
+                        first = p - int(starts[row])
+                        values = [split[row][first + k].strip(STRIP).lower() for k in _slots(kinds[p : p + width])]
+                        of.append(i + row)
+                        out.append((int(own[p].view(np.int64)), width, first, values))
+                columns = [pa.array([r[n] for r in out], x) for n, x in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())))]
+                at = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], ["doc", "id", "hash", "width", "p", "values"])
+
+    rows = docs.select(row_key(id_column, text_column).alias("doc"), F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    found = rows.mapInArrow(run, "doc long, id long, hash long, width int, p int, values array<string>")
+    return found.groupBy("doc", "id", "hash", "width", "p", "values").agg(F.count(F.lit(1)).alias("copies"))
+
+
+Hit = tuple[int, int, int, list[tuple[int, tuple[int, str], str]]]  # p, q, width, (place in the window, slot, value) ...
 
 
-def build_index(rows: list[tuple[int | None, str | None]]) -> Index:
-    """The index of rows (item_id, text)."""
-    templates, index = Templates(), Index([])
-    seen: dict[tuple, int] = {}
-    gathered: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
-    for item_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        (words,), many, hashes, kinds = templates.words([text or ""])
-        if len(words) < MIN_LITERALS or (kinds == PLAIN).sum() < MIN_LITERALS:
-            continue
-        surfaces = _surfaces(words)
-        slots = [s for s, k in zip(surfaces, kinds, strict=True) if k]
-        key = (hashes.tobytes(), tuple(slots.index(s) for s in slots))
-        if key in seen:
-            index.items[seen[key]].items += 1
-            continue
-        seen[key] = len(index.items)
-        width = min(WINDOW, len(words))
-        gathered[width].append((window_hashes(hashes, kinds, many, width), len(index.items)))
-        index.items.append(Item(item_id, surfaces, kinds))
-    for width, each in gathered.items():
-        hashes = np.concatenate([h for h, _ in each])
-        item = np.repeat([i for _, i in each], [len(h) for h, _ in each])
-        place = np.concatenate([np.arange(len(h)) for h, _ in each])
-        keep = hashes > 0
-        order = np.argsort(hashes[keep], kind="stable")
-        index.windows[width] = (hashes[keep][order], item[keep][order], place[keep][order])
-    return index
-
-
-def _occurrences(group: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+def _occurrences(group: list[Hit]) -> list[list[Hit]]:
     """Hits that may be one occurrence of the item: all of the group, those on each diagonal, and runs of diagonals in
     which both places go on, as where words are put in or left out. Where the item begins again a run ends."""
     diagonals = defaultdict(list)
@@ -190,7 +248,7 @@ def _occurrences(group: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
         diagonals[hit[0] - hit[1]].append(hit)
     if len(diagonals) == 1:
         return [group]
-    runs: list[list[tuple[int, int, int]]] = []
+    runs: list[list[Hit]] = []
     for hits in sorted(diagonals.values()):
         if runs and hits[0][0] > runs[-1][-1][0] and hits[0][1] > runs[-1][-1][1]:
             runs[-1] += hits
@@ -199,15 +257,11 @@ def _occurrences(group: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
     return [group, *runs, *diagonals.values()]
 
 
-def _judged(item: Item, number: int, words: list[str], group: list[tuple[int, int, int]]) -> tuple[int, float, int, int] | None:
-    """The match that hits (place in the document, place in the item, width) make, if most agree on what stands in the slots."""
-    size = len(item.surfaces)
+def _judged(size: int, group: list[Hit]) -> tuple[float, int, int] | None:
+    """(coverage, first word, exchanged slots) of an item of ``size`` words by hits, if most agree on what stands in the slots."""
     votes: dict[tuple[int, str], Counter] = defaultdict(Counter)
-    slots = []
-    for p, q, width in group:
-        each = [((int(item.kinds[q + i]), item.surfaces[q + i]), words[p + i].strip(STRIP).lower()) for i in range(width) if item.kinds[q + i]]
-        slots.append(each)
-        for slot, value in each:
+    for *_, slots in group:
+        for _, slot, value in slots:
             votes[slot][value] += 1
     chosen: dict[tuple[int, str], str] = {}
     taken: set[tuple[int, str]] = set()
@@ -217,120 +271,83 @@ def _judged(item: Item, number: int, words: list[str], group: list[tuple[int, in
                 chosen[slot] = value
                 taken.add((slot[0], value))
                 break
-    aligned = {(p + i, q + i): (each_slot, value) for (p, q, width), each in zip(group, slots, strict=True) for i, (each_slot, value) in zip((i for i in range(width) if item.kinds[q + i]), each, strict=True)}
+    aligned = {(p + i, q + i): (slot, value) for p, q, _, slots in group for i, slot, value in slots}
     if sum(chosen.get(slot) == value for slot, value in aligned.values()) < MIN_CONSISTENT * len(aligned):
         return None
     covered = np.zeros(size, bool)
     first = None
-    for (p, q, width), each in zip(group, slots, strict=True):
-        if all(chosen.get(slot) == value for slot, value in each):
+    for p, q, width, slots in group:
+        if all(chosen.get(slot) == value for _, slot, value in slots):
             covered[q : q + width] = True
             first = p if first is None else first
-    return number, float(covered.mean()), -1 if first is None else first, sum(slot[1] != value for slot, value in chosen.items())
-
-
-def _matches(index: Index, words: list[str], kinds: np.ndarray, hits: list[tuple[int, int, int, int]]) -> list[tuple[int, float, int, int]]:
-    """(item, coverage, first word, exchanged slots) of a document from its hits (item, place in the item, place in
-    the document, width). Hits of an item further apart than twice its length are told apart; of what is closer, every
-    occurrence is judged by itself."""
-    out = []
-    by_item = defaultdict(list)
-    for item, q, p, width in hits:
-        by_item[item].append((p, q, width))
-    for number, found in sorted(by_item.items()):
-        item = index.items[number]
-        size = len(item.surfaces)
-        found.sort()
-        best, start = None, 0
-        for i in range(1, len(found) + 1):
-            if i == len(found) or found[i][0] - found[i - 1][0] > 2 * size:
-                for part in _occurrences(found[start:i]):
-                    row = _judged(item, number, words, part)
-                    best = row if row and (best is None or row[1] > best[1]) else best
-                start = i
-        if best and best[1] >= MIN_COVERAGE:
-            out.append(best)
-    return out
-
-
-def match_texts(index: Index, filters: dict[int, np.ndarray], templates: Templates, texts: list[str]) -> list[list[tuple[int, float, int, int]]]:
-    """The matches of each text."""
-    split, many, hashes, kinds = templates.words(texts)
-    starts = np.cumsum(many) - many
-    hits: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-    for width, (keys, items, places) in index.windows.items():
-        own = window_hashes(hashes, kinds, many, width)
-        at = np.flatnonzero(filters[width][(own >> np.uint64(44)).astype(np.int64)] & (own > 0))
-        low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
-        found = high > low
-        for p, i, j in zip(at[found].tolist(), low[found].tolist(), high[found].tolist(), strict=True):
-            doc = int(np.searchsorted(starts, p, "right")) - 1
-            while many[doc] == 0:
-                doc -= 1
-            for w in range(i, j):
-                hits[doc].append((int(items[w]), int(places[w]), p - int(starts[doc]), width))
-    return [_matches(index, split[d], kinds, hits[d]) if d in hits else [] for d in range(len(texts))]
-
-
-def _state(sent, key: str) -> tuple[Index, dict[int, np.ndarray], Templates]:
-    return only(("benchmark", key), lambda: (sent.value, sent.value.filters(), Templates()))
-
-
-def _parts(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[Index]:
-    """Indexes of at most about ``PART_WINDOWS`` windows each."""
-    rows = benchmark.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).filter("text IS NOT NULL")
-    part: list[tuple[int | None, str | None]] = []
-    held = 0
-    for row in rows.orderBy(F.col("id").asc_nulls_last(), "text").toLocalIterator():
-        part.append((row.id, row.text))
-        held += len(row.text) // 2
-        if held > PART_WINDOWS:
-            yield build_index(part)
-            part, held = [], 0
-    if part:
-        yield build_index(part)
-
-
-def _run(index_key: str, sent, texts: pa.Array) -> list[list[tuple[int, float, int, int]]]:
-    index, filters, templates = _state(sent, index_key)
-    texts = pc.fill_null(texts, "")
-    return [m for i, j in slices(texts, SLICE_BYTES) for m in match_texts(index, filters, templates, texts.slice(i, j - i).to_pylist())]
+    return float(covered.mean()), -1 if first is None else first, sum(slot[1] != value for slot, value in chosen.items())
+
+
+def match(size: int, hits: list[Hit]) -> tuple[float, int, int] | None:
+    """(coverage, first word, exchanged slots) of an item of ``size`` words in a document, or None. Hits further apart
+    than twice its length are told apart; of what is closer, every occurrence is judged by itself."""
+    hits = sorted(hits)
+    best, start = None, 0
+    for i in range(1, len(hits) + 1):
+        if i == len(hits) or hits[i][0] - hits[i - 1][0] > 2 * size:
+            for part in _occurrences(hits[start:i]):
+                row = _judged(size, part)
+                best = row if row and (best is None or row[0] > best[0]) else best
+            start = i
+    return best if best and best[0] >= MIN_COVERAGE else None
+
+
+SCHEMA = "doc long, id long, item_id long, n_items long, coverage double, first_word long, n_exchanged long, copies long"
+
+
+def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``SCHEMA`` of the hits that come sorted by document and template."""
+
+    def judged(rows: list[dict]) -> tuple | None:
+        one = rows[0]
+        found = match(one["words"], [(r["p"], r["q"], r["width"], [(s["at"], (s["kind"], s["surface"]), v) for s, v in zip(r["slots"], r["values"], strict=True)]) for r in rows])
+        return None if found is None else (one["doc"], one["id"], one["item_id"], one["n_items"], *found, one["copies"])
+
+    held: list[dict] = []
+    kinds = [pa.float64() if n == 4 else pa.int64() for n in range(8)]
+    names = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names)
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if held and (held[0]["doc"], held[0]["template"]) != (row["doc"], row["template"]):
+                out.append(judged(held))
+                held = []
+            held.append(row)
+        yield table([r for r in out if r])
+    yield table([r for r in [judged(held)] if r] if held else [])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_id: str, item_text: str) -> DataFrame:
+    """Rows of ``SCHEMA``, one for each different document and item found in it."""
+    spark = docs.sparkSession
+    expose_package(spark)
+    scratch = Scratch(spark, "decontaminate")
+    windows = scratch.write(benchmark_windows(benchmark_templates(benchmark, item_id, item_text)))
+    widths = sorted(r.width for r in windows.select("width").distinct().collect())  # WINDOW at most
+    if not widths:
+        return spark.createDataFrame([], SCHEMA)
+    own = scratch.write(document_windows(docs, bit_map(windows), widths, id_column, text_column))
+    items = F.broadcast(windows) if windows.count() <= BROADCAST_ROWS else windows
+    hits = own.join(items, ["hash", "width"]).repartition("doc", "template").sortWithinPartitions("doc", "template")
+    columns = ["doc", "template", "id", "item_id", "n_items", "words", "p", "q", "width", "slots", "values", "copies"]
+    return hits.select(*columns).mapInArrow(judge, SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row per document and benchmark item found in it: id, item_id, n_items, coverage, first_word, n_exchanged."""
-    spark = docs.sparkSession
-    expose_package(spark)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    schema = "id long, item_id long, n_items long, coverage double, first_word long, n_exchanged long"
-    out = None
-    for index in _parts(benchmark, item_id, item_text):
-        sent = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                items = _state(sent, key)[0].items
-                found = [(d, items[i].item_id, items[i].items, c, p, x) for d, ms in zip(batch.column(0).to_pylist(), _run(key, sent, batch.column(1)), strict=True) for i, c, p, x in ms]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], kinds[n]) for n in range(6)], ["id", "item_id", "n_items", "coverage", "first_word", "n_exchanged"])
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    out = spark.createDataFrame([], schema) if out is None else out
-    return out.withColumnRenamed("id", id_column)
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents that no item of the benchmark contaminates, with their own columns."""
-    spark = docs.sparkSession
-    expose_package(spark)
-    at = docs.columns.index(text_column)
-    for index in _parts(benchmark, item_id, item_text):
-        sent = spark.sparkContext.broadcast(index)
+    found = _found(docs, benchmark, id_column, text_column, item_id, item_text)
+    rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(F.col("id").alias(id_column), "item_id", "n_items", "coverage", "first_word", "n_exchanged")
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not m for m in _run(key, sent, batch.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that no item of the benchmark contaminates, with their own columns."""
+    key = unused(docs, "row_key")
+    gone = Scratch(docs.sparkSession, "contaminated").write(_found(docs, benchmark, id_column, text_column, item_id, item_text).select(F.col("doc").alias(key)).distinct())
+    return docs.withColumn(key, row_key(id_column, text_column)).join(keys_to_join(gone), key, "left_anti").select(*[F.col(c) for c in docs.columns])
