@@ -1,21 +1,30 @@
 """Operator 2: near-duplicate vectors by range search on a robust-pruned flat graph.
 
-Equal vectors of a label are one node with a weight. The nodes of a label of over ``SHARD`` nodes are dealt to the
-``OVERLAP`` nearest of centres fitted on a bounded sample, so shards overlap; a shard of over ``BLOCK`` nodes is dealt
-on as pairs of blocks, each in a shard of its own, so no task holds more than two blocks and no pair is lost. Every
-shard builds adjacency lists by robust pruning; a node's lists from all its shards are united. Then every node is
-searched in its first shard: a greedy beam search starts from the medoid, and from all nodes near the query found on
-the way the search expands along the lists as long as it stays in range. Links are verified by cosine in double
-precision. ``audit`` compares a sample of queries with brute force; if recall is below ``RECALL`` the search is
-repeated with a wider beam.
+Equal vectors of a label are one node with a weight. Nodes of a label are split among centres, level by level, until no
+group has over ``SHARD`` nodes; on each level a node goes to its nearest centre, and a copy of it to the next nearest, so
+shards overlap. Centres are fitted for each group on a bounded sample (``SAMPLE_PER_CENTRE`` nodes for each of at most
+``FAN_OUT`` centres). Every shard builds adjacency lists by robust pruning, and a node's lists from all its shards are
+united. Then every node is searched in the shard of its nearest centres, together with all nodes that the united lists of
+the shard lead to: a greedy beam search starts from the medoid, and from all nodes near the query found on the way the
+search expands along the united lists, also across shards, as long as it stays in range. Links are verified by cosine in
+double precision.
+
+A group whose nodes are as near to each other as links ask for isn't split: there most pairs are links and have to be
+counted, so pairs of blocks of ``BLOCK`` nodes are compared exactly, each in a task of its own.
+
+``audit`` compares queries with brute force over all nodes, half of them nodes with links found, half any. If the recall is
+below ``RECALL`` the search is repeated with a wider beam; if it stays below ``LEAST_RECALL`` all groups are compared
+exactly. The recall is logged and part of ``search``'s result.
 
 Only vectors of equal, known labels and equal length are compared. Vectors that are null, empty, zero or hold null or
 non-finite components link with nothing and are kept; so are those without label. Rows of equal id and different
-vectors are different nodes; an empty table gives an empty result.
+vectors are different nodes; columns other than the three named are left out, so no name can clash; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +35,13 @@ from pyspark.sql import functions as F
 from litmill.llm.common import Scratch, broadcast_if_small, components, expose_package
 from litmill.llm.simhash import forest
 
-SHARD, OVERLAP, BLOCK = 1000, 2, 2048
-CENTRES, SAMPLE_PER_CENTRE = 1024, 16
+LOG = logging.getLogger(__name__)
+SHARD, BLOCK = 1000, 2048
+FAN_OUT, SAMPLE_PER_CENTRE, LEVELS = 64, 16, 12
+#: How far below the threshold the mean cosine of a group's pairs may be for it to be compared exactly.
+TIGHT = 0.02
 DEGREE, CANDIDATES, FAR, BACK, FAN, ALPHA = 24, 48, 16, 40, 8, 1.2
-BEAM, SLACK, RECALL, AUDITED = 24, 0.04, 0.95, 128
+BEAM, SLACK, RECALL, LEAST_RECALL, AUDITED = 24, 0.04, 0.95, 0.9, 512
 
 
 # One shard
@@ -77,6 +89,18 @@ def robust_prune(v: np.ndarray) -> list[np.ndarray]:
     return np.split(both % m, np.searchsorted(both // m, np.arange(1, m)))
 
 
+def exact_search(v: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) of cosine ``threshold`` and over."""
+    out_q, out_n = [], []
+    for i in range(0, len(queries), 512):
+        q = queries[i : i + 512]
+        a, b = np.nonzero(v[q] @ v.T >= threshold)
+        other = q[a] != b
+        out_q.append(q[a][other])
+        out_n.append(b[other])
+    return (np.concatenate(out_q), np.concatenate(out_n)) if out_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def range_search(v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) of cosine ``threshold`` and over, found from the medoid along ``lists``."""
     m = len(v)
@@ -142,7 +166,7 @@ def range_search(v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, th
 
 def _vectors(column: pa.Array) -> np.ndarray:
     """Unit vectors in double precision of lists of equal length."""
-    v = np.stack([np.asarray(x, np.float64) for x in column.to_pylist()])
+    v = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -176,62 +200,100 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     )
 
 
-def fit_centres(nodes: DataFrame) -> dict[tuple, np.ndarray]:
-    """Centres of the (label, dim) of over ``SHARD`` nodes, ``CENTRES`` in all at most, from a sample of each."""
-    counts = nodes.groupBy("label", "dim").count().filter(F.col("count") > SHARD).orderBy(F.desc("count"), "label", "dim").limit(CENTRES).collect()
-    total = sum(r["count"] for r in counts)
-    fitted = {}
-    for r in counts:
-        k = max(2, min(-(-r["count"] // SHARD), CENTRES * r["count"] // total))
-        sample = nodes.filter((F.col("label") == r.label) & (F.col("dim") == r.dim)).orderBy("node").limit(k * SAMPLE_PER_CENTRE)
-        v = _vectors(pa.array([x.embedding for x in sample.select("embedding").collect()]))
-        centres = v[:: max(1, len(v) // k)][:k].copy()
-        for _ in range(8):
-            own = (v @ centres.T).argmax(axis=1)
-            for c in range(len(centres)):
-                if (own == c).any():
-                    mean = v[own == c].mean(axis=0)
-                    centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
-        fitted[r.label, r.dim] = centres
-    return fitted
-
-
-def shards_of(scratch: Scratch, nodes: DataFrame, centres: dict[tuple, np.ndarray]) -> DataFrame:
-    """Rows (shard, node, embedding, query, side, cross): ``query`` where the node is searched; in a pair of blocks
-    (``cross``) only nodes of the other ``side`` count."""
-    spark = nodes.sparkSession
-    sent = spark.sparkContext.broadcast(centres)
+def centres_of(v: np.ndarray, k: int) -> np.ndarray:
+    """``k`` centres of unit vectors by rounds of nearest centres and means."""
+    centres = v[:: max(1, len(v) // k)][:k].copy()
+    for _ in range(8):
+        own = (v @ centres.T).argmax(axis=1)
+        for c in range(len(centres)):
+            if (own == c).any():
+                mean = v[own == c].mean(axis=0)
+                centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
+    return centres
+
+
+def _centres(members: DataFrame, sizes: DataFrame, threshold: float, level: int) -> DataFrame:
+    """Rows (group, centre, vector) of the groups (group, n) that are to be split."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches):
+            v, n = _vectors(table.column("embedding").combine_chunks()), table.column("n")[0].as_py()
+            mean = v.mean(axis=0)
+            if float(mean @ mean) >= threshold - TIGHT or len(v) < 2:  # the mean cosine of all pairs
+                continue
+            found = centres_of(v, max(2, min(FAN_OUT, -(-2 * n // SHARD), len(v))))
+            group = [table.column("group")[0].as_py()] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array(found.tolist(), pa.list_(pa.float64()))], ["group", "centre", "vector"])
+
+    asked = F.least(F.lit(FAN_OUT), F.ceil(2 * F.col("n") / F.lit(SHARD))) * SAMPLE_PER_CENTRE
+    sample = members.join(sizes, "group").filter(F.pmod(F.xxhash64("node", F.lit(level)), F.col("n")) < asked)
+    rows = sample.select("group", "node", "embedding", "n").repartition("group").sortWithinPartitions("group", "node").select("group", "embedding", "n")
+    return rows.mapInArrow(fit, "group long, centre long, vector array<double>")
+
+
+def _assigned(members: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``members`` (group, node, embedding, query) in the groups of their nearest centres. Centres come first in every
+    part of a group, of which there are as many as its size asks for."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, (label, dim) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                near = [0]
-                if (label, dim) in sent.value:
-                    c = sent.value[label, dim]
-                    v = _vectors(batch.column(3).slice(i, 1))[0]
-                    near = np.argsort(-(c @ v), kind="stable")[:OVERLAP].tolist()
-                rows += [(i, n, place == 0) for place, n in enumerate(near)]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], ["label", "dim", "node", "embedding", "centre", "query"])
-
-    rows = nodes.select("label", "dim", "node", "embedding")
-    kinds = dict(rows.dtypes)
-    assigned = rows.mapInArrow(assign, f"label {kinds['label']}, dim int, node long, embedding {kinds['embedding']}, centre long, query boolean")
-    assigned = scratch.write(assigned.withColumn("shard", F.xxhash64("label", "dim", "centre")).drop("label", "dim", "centre"))
-    sizes = scratch.write(assigned.groupBy("shard").agg(F.count(F.lit(1)).alias("n")))
-    joined = assigned.join(broadcast_if_small(sizes, sizes.count()), "shard")
+        for table in _runs(batches):
+            member = table.column("member").to_numpy(zero_copy_only=False)
+            known, rows = table.filter(pa.array(~member)), table.filter(pa.array(member))
+            c, v = _vectors(known.column("vector").combine_chunks()), _vectors(rows.column("embedding").combine_chunks())
+            sims = v @ c.T
+            first = sims.argmax(axis=1)
+            sims[np.arange(len(v)), first] = -2
+            second = sims.argmax(axis=1)
+            also = np.flatnonzero(rows.column("query").to_numpy(zero_copy_only=False))
+            at = pa.array(np.concatenate((np.arange(len(v)), also)))
+            to = np.concatenate((first, second[also]))
+            query = np.concatenate((rows.column("query").to_numpy(zero_copy_only=False), np.zeros(len(also), bool)))
+            columns = [rows.column(x).combine_chunks().take(at) for x in ("group", "node", "embedding")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(to, pa.int64()), pa.array(query)], ["group", "node", "embedding", "centre", "query"])
+
+    kind = dict(members.dtypes)["embedding"]
+    parts = F.ceil(F.col("n") / F.lit(8 * SHARD)).cast("int")
+    part = lambda x: F.xxhash64("group", x).alias("part")
+    of_member = members.join(sizes, "group").select(part(F.pmod(F.xxhash64("node"), parts).cast("int")), F.lit(True).alias("member"), "group", "node", "embedding", "query", F.lit(None).cast("array<double>").alias("vector"))
+    of_centre = centres.join(sizes, "group").withColumn("i", F.explode(F.sequence(F.lit(0), parts - 1)))
+    of_centre = of_centre.select(part(F.col("i")), F.lit(False), "group", F.col("centre"), F.lit(None).cast(kind), F.lit(False), "vector")
+    rows = of_member.union(of_centre).repartition("part").sortWithinPartitions("part", "member", "node")
+    split = rows.mapInArrow(assign, f"group long, node long, embedding {kind}, centre long, query boolean")
+    return split.select(F.xxhash64("group", "centre").alias("group"), "node", "embedding", "query")
+
+
+def shards_of(scratch: Scratch, nodes: DataFrame, threshold: float, split: bool = True) -> DataFrame:
+    """Rows (shard, node, embedding, query, side, exact): ``query`` where the node is searched. Groups that are not split
+    further and have over ``BLOCK`` nodes are dealt by pairs of blocks (``exact``), in which only nodes of the other
+    ``side`` count, if there is one."""
+    members = nodes.select(F.xxhash64("label", "dim").alias("group"), "node", "embedding", F.lit(True).alias("query"))
+    done: list[DataFrame] = []
+    for level in range(LEVELS if split else 0):
+        sizes = scratch.write(members.groupBy("group").agg(F.count(F.lit(1)).alias("n")))
+        large = sizes.filter(F.col("n") > SHARD)
+        centres = scratch.write(_centres(members, large, threshold, level))
+        if centres.isEmpty():
+            break
+        going = centres.select("group").distinct()
+        done.append(members.join(going, "group", "left_anti"))
+        members = scratch.write(_assigned(members.join(going, "group", "left_semi"), centres, large))
+    for part in done:
+        members = members.unionByName(part)
+    members = scratch.write(members)
+    sizes = scratch.write(members.groupBy("group").agg(F.count(F.lit(1)).alias("n")))
+    joined = members.join(broadcast_if_small(sizes, sizes.count()), "group")
+    exact = F.col("n") > BLOCK if split else F.lit(True)
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
     mine = F.pmod(F.xxhash64("node", F.lit(1)), blocks)
     dealt = joined.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     return dealt.select(
-        F.xxhash64("shard", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), "node", "embedding", "query",
-        (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") != F.col("other")).alias("cross"),
+        F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), "node", "embedding", "query",
+        F.when(F.col("block") != F.col("other"), (F.col("block") > F.col("other")).cast("int")).alias("side"), exact.alias("exact"),
     )
 
 
 def _graph(shards: DataFrame) -> DataFrame:
-    """United adjacency lists (node, list)."""
+    """United adjacency lists (node, list) of the nodes in shards that are searched along them."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches):
@@ -239,25 +301,36 @@ def _graph(shards: DataFrame) -> DataFrame:
             lists = robust_prune(_vectors(table.column("embedding").combine_chunks()))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[x].tolist() for x in lists], pa.list_(pa.int64()))], ["node", "list"])
 
-    sorted_ = shards.select("shard", "node", "embedding").repartition("shard").sortWithinPartitions("shard", "node")
+    sorted_ = shards.filter("NOT exact").select("shard", "node", "embedding").repartition("shard").sortWithinPartitions("shard", "node")
     return sorted_.mapInArrow(build, "node long, list array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("list"))).alias("list"))
 
 
-def _search(shards: DataFrame, graph: DataFrame, weights: DataFrame, threshold: float, beam: int) -> DataFrame:
+def _within_reach(scratch: Scratch, shards: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``shards`` with lists and weights, and for every shard the nodes outside that the united lists of its queries lead to."""
+    own = shards.filter("NOT exact")
+    led = own.filter("query").select("shard", "node").join(graph, "node").select("shard", F.explode("list").alias("node")).distinct()
+    outside = led.join(own.select("shard", "node"), ["shard", "node"], "left_anti").join(nodes.select("node", "embedding"), "node")
+    outside = outside.select("shard", "node", "embedding", F.lit(False).alias("query"), F.lit(None).cast("int").alias("side"), F.lit(False).alias("exact"))
+    return scratch.write(shards.unionByName(outside).join(graph, "node", "left").join(nodes.select("node", "weight"), "node"))
+
+
+def _search(shards: DataFrame, threshold: float, beam: int) -> DataFrame:
     """Rows (a, b, n): b null and n the weight that a links to in a shard; or links (a, b) of a shard's forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches):
             ids = table.column("node").to_numpy()
-            place = {x: i for i, x in enumerate(ids.tolist())}
             v = _vectors(table.column("embedding").combine_chunks())
-            lists = [np.array([place[x] for x in near if x in place], np.int64) for near in table.column("list").to_pylist()]
-            queries = np.flatnonzero(table.column("query").to_numpy())
-            side, cross = table.column("side").to_numpy(), bool(table.column("cross")[0].as_py())
-            a, b = range_search(v, lists, queries, threshold, beam)
-            if cross:
-                keep = side[a] != side[b]
-                a, b = a[keep], b[keep]
+            queries = np.flatnonzero(table.column("query").to_numpy(zero_copy_only=False))
+            if table.column("exact")[0].as_py():
+                a, b = exact_search(v, queries, threshold)
+                side = table.column("side").to_numpy(zero_copy_only=False)
+                if table.column("side")[0].is_valid:
+                    a, b = (x[side[a] != side[b]] for x in (a, b))
+            else:
+                place = {x: i for i, x in enumerate(ids.tolist())}
+                lists = [np.array([place[x] for x in near or [] if x in place], np.int64) for near in table.column("list").to_pylist()]
+                a, b = range_search(v, lists, queries, threshold, beam)
             counted = np.bincount(a, table.column("weight").to_numpy()[b], len(ids)).astype(np.int64)
             some = np.flatnonzero(counted)
             x, y = forest(ids[a], ids[b]) if len(a) else (ids[:0], ids[:0])
@@ -265,15 +338,19 @@ def _search(shards: DataFrame, graph: DataFrame, weights: DataFrame, threshold:
                 [pa.array(np.concatenate((ids[some], x))), pa.array([None] * len(some) + y.tolist(), pa.int64()), pa.array(np.concatenate((counted[some], np.zeros(len(x), np.int64))))], ["a", "b", "n"]
             )
 
-    joined = shards.join(graph, "node").join(weights, "node").select("shard", "node", "embedding", "query", "side", "cross", "list", "weight")
-    return joined.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long, n long")
+    rows = shards.select("shard", "node", "embedding", "query", "side", "exact", "list", "weight")
+    return rows.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long, n long")
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int = AUDITED) -> float:
-    """The share of the weight linked by brute force to the ``sample`` nodes of the lowest hashes that was found."""
-    asked = nodes.orderBy("node").limit(sample).select("node", "label", "dim", "embedding").collect()
+def audit(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int = AUDITED) -> float | None:
+    """The share of the weight linked by brute force over all nodes to ``sample`` queries that was found: half of the
+    queries are nodes with links found, half any, each those of the lowest hashes. None if they have no links."""
+    order = F.xxhash64("node", F.lit(7))
+    with_links = counted.orderBy(order).limit(sample // 2).select("node")
+    ids = [r.node for r in with_links.union(nodes.orderBy(order).limit(sample - sample // 2).select("node")).distinct().collect()]
+    asked = nodes.filter(F.col("node").isin(ids)).select("node", "label", "dim", "embedding").collect()
     if not asked:
-        return 1.0
+        return None
     groups: dict[tuple, list] = {}
     for r in asked:
         groups.setdefault((r.label, r.dim), []).append(r)
@@ -283,24 +360,45 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for batch in batches:
-            rows = batch.to_pylist()
-            by: dict[tuple, list] = {}
-            for r in rows:
-                if (r["label"], r["dim"]) in sent.value:
-                    by.setdefault((r["label"], r["dim"]), []).append(r)
-            for k, rs in by.items():
-                ids, v = sent.value[k]
-                near = v @ _vectors(pa.array([r["embedding"] for r in rs])).T >= threshold
-                near &= ids[:, None] != np.array([r["node"] for r in rs])[None, :]
-                for i, n in zip(ids.tolist(), (near @ np.array([r["weight"] for r in rs])).tolist(), strict=True):
+            key = np.array([hash(k) for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+            for k, (ids, v) in sent.value.items():
+                at = np.flatnonzero(key == hash(k))
+                if not len(at):
+                    continue
+                part = batch.take(pa.array(at))
+                near = v @ _vectors(part.column(2)).T >= threshold
+                near &= ids[:, None] != part.column(3).to_numpy()[None, :]
+                for i, n in zip(ids.tolist(), (near @ part.column(4).to_numpy()).tolist(), strict=True):
                     total[i] = total.get(i, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["node", "n"])
 
     exact = nodes.select("label", "dim", "embedding", "node", "weight").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()
     want = sum(r.n for r in exact)
-    ids = [r.node for r in asked]
     got = counted.filter(F.col("node").isin(ids)).agg(F.sum("linked")).first()[0] or 0
-    return got / want if want else 1.0
+    return got / want if want else None
+
+
+def search(scratch: Scratch, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, float | None]:
+    """(rows (node, linked), links (a, b) whose components are those of all, measured recall)."""
+    shards = scratch.write(shards_of(scratch, nodes, threshold))
+    rows = _within_reach(scratch, shards, scratch.write(_graph(shards)), nodes)
+    beam = BEAM
+    while True:
+        found = scratch.write(_search(rows, threshold, beam))
+        counted = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "node")
+        recall = audit(nodes, counted, threshold)
+        LOG.info("recall %s with a beam of %d", recall, beam)
+        if recall is None or recall >= RECALL or (beam >= 4 * BEAM and recall >= LEAST_RECALL):
+            break
+        if beam >= 4 * BEAM:  # nothing is returned below the least recall
+            whole = shards_of(scratch, nodes, threshold, split=False)
+            rows = scratch.write(whole.withColumn("list", F.lit(None).cast("array<long>")).join(nodes.select("node", "weight"), "node"))
+            found = scratch.write(_search(rows, threshold, beam))
+            counted = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "node")
+            recall = 1.0
+            break
+        beam *= 2
+    return counted, found.filter("b IS NOT NULL").select("a", "b"), recall
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
@@ -310,18 +408,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("embedding"), F.col(label_column).alias("label"))
     nodes = scratch.write(nodes_of(rows))
-    shards = scratch.write(shards_of(scratch, nodes, fit_centres(nodes)))
-    graph = scratch.write(_graph(shards))
-    beam = BEAM
-    while True:
-        found = scratch.write(_search(shards, graph, nodes.select("node", "weight"), threshold, beam))
-        counted = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "node")
-        if audit(nodes, counted, threshold) >= RECALL or beam >= 8 * BEAM:
-            break
-        beam *= 2
-    roots = components(scratch, found.filter("b IS NOT NULL").select("a", "b"))
+    counted, links, _ = search(scratch, nodes, threshold)
+    roots = components(scratch, links)
     known = nodes.join(counted, "node", "left").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     known = scratch.write(known.select("node", "weight", "least", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "node").alias("root")))
+    scratch.keep_only(known)
     named = known.groupBy("root").agg(F.min("least").alias("component"))
     known = known.join(named, "root").select("node", (F.col("weight") - 1 + F.col("linked")).alias("n_links"), "component")
     joined = rows.withColumn("node", F.xxhash64("label", "embedding")).select("id", "node").join(known, "node", "left")
