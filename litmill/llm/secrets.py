@@ -8,8 +8,9 @@ Random strings are written-out digests; ordinary identifiers are words of a boun
 their usual compounds (Capitalised, UPPER, snake_case, camelCase, with-hyphens, paths, with numbers). Both models
 are counts of adjacent characters with one added to each.
 
-Offsets count code points; the end is exclusive. A null text counts as empty; null and repeated ids keep their rows
-apart; an empty table gives an empty result.
+Offsets count code points; the end is exclusive. A null text counts as empty; texts are read whole, and the spans of a
+long one cost no more each than those of a short one; rows of equal id and text are scanned alike; columns other than
+the id and text are left out, so no name can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from litmill.llm.common import lowest, row_key
+
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # whole runs: a run that is too short holds no longer one
@@ -51,11 +54,14 @@ def random_strings(spark: SparkSession, n: int = SAMPLE_RANDOM) -> DataFrame:
 
 
 def ordinary_identifiers(docs: DataFrame, id_column: str, text_column: str, n: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled samples of ordinary identifiers from the documents of the ``n`` lowest id hashes."""
-    hashed = docs.filter(F.col(text_column).isNotNull() & F.col(id_column).isNotNull()).select(F.xxhash64(F.col(id_column).cast("string")).alias("h"))
-    top = hashed.orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    sample = docs.filter(F.xxhash64(F.col(id_column).cast("string")) <= F.lit(top)).filter(F.col(id_column).isNotNull())
-    words = F.regexp_extract_all(F.col(text_column), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,15}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    """Labelled samples of ordinary identifiers from the ``n`` different documents of the lowest id hashes."""
+    known = docs.filter(F.col(text_column).isNotNull() & F.col(id_column).isNotNull())
+    hashed = known.select(F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.xxhash64(text_column).alias("t"), F.col(text_column).alias("text"))
+    top = lowest(hashed.select("h", "t"), n, []).agg(F.max(F.struct("h", "t")).alias("top")).first().top
+    if top is None:
+        return docs.sparkSession.createDataFrame([], "token string, label string")
+    sample = hashed.filter(F.struct("h", "t") <= F.struct(F.lit(top.h), F.lit(top.t))).groupBy("h", "t").agg(F.first("text").alias("text"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,15}(?![A-Za-z0-9+/_=-])"), F.lit(0))
     rows = sample.select(words.alias("w")).select(F.posexplode(F.arrays_zip(F.col("w"), F.expr("slice(w, 2, greatest(size(w), 1))").alias("v")))).select("pos", F.lower("col.w").alias("w"), F.lower(F.coalesce("col.v", "col.w")).alias("v"))
     forms = F.array(
         "w", F.initcap("w"), F.upper("w"), F.concat("w", F.lit("_"), "v"), F.concat("w", F.initcap("v")), F.concat("w", F.lit("-"), "v"),
@@ -103,9 +109,9 @@ def _found(guard: Column, text: Column, pattern: str, kind: int, valid, group: i
 
 
 def scan(docs: DataFrame, table: list[float] | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, n_assign, n_access, n_hex, n_model, base_sha256, spans. Without a table no spans are added."""
+    """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_model. Without a table no spans are added."""
     text = F.col("text")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = docs.select(row_key(id_column, text_column).alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     yes = lambda g: F.lit(True)
     parts = [
         _found(text.rlike("(?i)password|passwd|secret|token|api_?key"), text, ASSIGN, 0, lambda g: F.length(g) >= 6, 2),
@@ -115,27 +121,30 @@ def scan(docs: DataFrame, table: list[float] | None, id_column: str = "doc_id",
     if table is not None:
         parts.append(_found(text.rlike(TOKEN), text, TOKEN, 3, lambda g: ratio(g, table) >= THRESHOLD))
     mark = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("pos"), F.lit(0).alias("before"), F.lit(0).alias("size"), F.lit(False).alias("valid")))
-    entries = rows.select("row", "id", F.explode(F.concat(mark, *parts)).alias("e")).select("row", "id", "e.*").repartition("row")
+    entries = rows.select("row", "id", F.explode(F.concat(mark, *parts)).alias("e")).select("row", "id", "e.*")
+    entries = entries.groupBy("row", "id", "kind", "pos", "before", "size", "valid").agg(F.count(F.lit(1)).alias("copies")).repartition("row")
     running = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = entries.withColumn("end", F.sum(F.col("before") + F.col("size")).over(running)).withColumn("start", F.col("end") - F.col("size"))
     base = F.col("valid") & F.col("kind").between(0, 2)
     order = Window.partitionBy("row").orderBy("start", "kind", "pos")
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"), F.desc("pos"))
     before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(after >= F.col("end"), F.lit(True))
     kept = placed.withColumn("kept", F.col("valid") & ((F.col("kind") < 3) | apart))
     span = F.struct("start", "kind", "end")
     count = lambda k: F.sum(F.when(F.col("kept") & (F.col("kind") == k), 1).otherwise(0)).cast("long")
     found = kept.groupBy("row").agg(
-        F.first("id").alias("id"), *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        F.first("id").alias("id"), F.max("copies").alias("copies"), *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.array_sort(F.collect_list(F.when(F.col("kept"), span))).alias("all"),
     )
     names = F.array(*map(F.lit, KINDS))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
     only_base = F.filter("all", lambda s: s.kind < 3)
-    return found.select(
-        F.col("id").alias(id_column), *[f"n_{name}" for name in KINDS], F.sha2(written(only_base), 256).alias("base_sha256"), written(F.col("all")).alias("spans")
-    )
+    counts = [f"n_{name}" for name in KINDS]
+    each = found.select("id", "copies", *counts, F.sha2(written(only_base), 256).alias("base_sha256"), written(F.col("all")).alias("spans"))
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select(F.col("id").alias(id_column), *counts[:-1], "base_sha256", "spans", counts[-1])
 
 
 def secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
