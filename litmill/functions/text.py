@@ -116,3 +116,8 @@ def prompt(head: str, text: Column, examples: list[tuple[str, str]] = ()) -> Col
     """A prompt: head, worked examples, then the text and the place for its JSON."""
     shots = [part for a, j in examples for part in (f"Abstract: {a}", f"JSON: {j}", "")]
     return F.concat(F.lit("\n".join([head, "", *shots]) + "\n"), F.lit("Abstract: "), F.coalesce(text, F.lit("")), F.lit("\nJSON:"))
+
+
+def sql_literal(value: str) -> str:
+    """A text as a literal of SQL, its quotes and backslashes kept; parameters are the better way where there are any."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def summary(pairs: DataFrame, field: str = "field", a: str = "a", b: str = "b") -> DataFrame:
@@ -56,3 +57,10 @@ def concordance(df: DataFrame, x: str, y: str) -> DataFrame:
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     m = known.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("c"))
     return m.select("n", F.try_divide(2 * F.col("c"), F.col("vx") + F.col("vy") + (F.col("mx") - F.col("my")) * (F.col("mx") - F.col("my"))).alias("ccc"))
+
+
+def codes(df: DataFrame, value: str, name: str = "code") -> DataFrame:
+    """Adds a number from 0 for each different value, in the order of their texts; null has none. Values are few."""
+    domain = df.filter(F.col(value).isNotNull()).select(value).distinct()
+    ranked = domain.withColumn(name, F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.col(value).cast("string"))) - 1)
+    return df.join(ranked, value, "left")

@@ -404,6 +404,36 @@ def hierarchy(assigned: DataFrame, vectors: DataFrame, words: DataFrame, config:
     return joined.select("topic_id", F.coalesce("top_words", F.array().cast("array<string>")).alias("top_words"), "size", "mid_level_id", "top_level_id", F.coalesce("representative_docs", F.array().cast("array<long>")).alias("representative_docs"))
 
 
+# Saved models
+
+
+def save_model(path: str, assigned: DataFrame, vectors: DataFrame, words: DataFrame, config: TopicConfig, key: str = "pmid", vector: str = "embedding") -> None:
+    """A model as tables below ``path``: its configuration, the centre, reach and words of every topic. The reach is the
+    cosine of the farthest member."""
+    rows = assigned.filter(F.col("topic_id") != NOISE).join(vectors.select(key, vector), key)
+    centres = centres_of(rows, vector)
+    reach = rows.join(centres, "topic_id").groupBy("topic_id").agg(F.min(cosine(F.col(vector), F.col("centre"))).alias("reach"), F.count(F.lit(1)).alias("size"))
+    model = centres.join(reach, "topic_id").join(words.select("topic_id", "words"), "topic_id", "left")
+    model.write.mode("overwrite").parquet(f"{path}/topics")
+    assigned.sparkSession.createDataFrame([(json.dumps(asdict(config), sort_keys=True),)], "config string").write.mode("overwrite").parquet(f"{path}/config")
+
+
+def load_model(spark, path: str) -> tuple[TopicConfig, DataFrame]:
+    """(configuration, topics: topic_id, centre, reach, size, words) of a saved model."""
+    config = TopicConfig(**json.loads(spark.read.parquet(f"{path}/config").first().config))
+    return config, spark.read.parquet(f"{path}/topics")
+
+
+def apply_model(vectors: DataFrame, model: DataFrame, key: str = "pmid", vector: str = "embedding") -> DataFrame:
+    """Rows (key, topic_id, is_noise): the nearest centre within whose reach a vector is, else noise."""
+    topics = F.broadcast(model.select("topic_id", "centre", "reach"))  # a row for each topic
+    near = vectors.select(key, vector).join(topics).withColumn("s", cosine(F.col(vector), F.col("centre")))
+    best = near.groupBy(key).agg(F.max(F.struct("s", (-F.col("topic_id")).alias("t"), "reach")).alias("best"))
+    inside = F.coalesce(F.col("best.s") >= F.col("best.reach") - 1e-9, F.lit(False))
+    out = best.select(key, F.when(inside, -F.col("best.t")).otherwise(NOISE).cast("long").alias("topic_id"))
+    return out.withColumn("is_noise", F.col("topic_id") == NOISE)
+
+
 # Sweep
 
 

@@ -116,29 +116,35 @@ def hashed_encoder(dim: int) -> Encoder:
     return encode
 
 
-#: Names, dimensions and text prefixes of the encoders that published figures compare.
+#: Names, dimensions and text prefixes of the encoders that published figures compare.
 ENCODERS = {"mpnet": (768, ""), "bge": (1024, ""), "nomic": (768, "search_document: ")}
 
 
-def make_encoder(name: str) -> tuple[Encoder, int, str]:
-    """(encoder, dimension, prefix); ValueError naming the known ones otherwise."""
+def make_encoder(name: str, device: str | None = None, revision: str | None = None, max_length: int | None = None) -> tuple[Encoder, int, str]:
+    """(encoder, dimension, prefix); ValueError naming the known ones otherwise. The stand-in reads at most ``max_length``
+    words and needs neither device nor revision; a maker of real encoders is given both."""
     if name not in ENCODERS:
         raise ValueError(f"unknown encoder {name!r}; known are {', '.join(ENCODERS)}")
     dim, prefix = ENCODERS[name]
-    return hashed_encoder(dim), dim, prefix
+    encode = hashed_encoder(dim)
+    short = (lambda texts: encode([" ".join(t.split()[:max_length]) for t in texts])) if max_length else encode
+    return short, dim, prefix
 
 
-def embed(texts: DataFrame, model: str = "mpnet", key: str = "pmid", text: str = "text", make: Callable = make_encoder, batch: int = 64) -> DataFrame:
-    """Rows (key, embedding, model_name); the encoder is made once per task."""
+def embed(texts: DataFrame, model: str = "mpnet", key: str = "pmid", text: str = "text", make: Callable = make_encoder, batch: int = 64, **how) -> DataFrame:
+    """Rows (key, embedding, model_name); the encoder is made once per task, with ``how`` (device, revision, max_length)."""
+    if batch < 1:
+        raise ValueError("a batch has a text at least")
     expose_package(texts.sparkSession)
-    _, _, prefix = make(model)
+    _, _, prefix = make(model, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = make(model)[0]
+        encode = make(model, **how)[0]
         for b in batches:
             for i in range(0, b.num_rows, batch):
                 part = b.slice(i, batch)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(encode([prefix + (t or "") for t in part.column(1).to_pylist()])), pa.list_(pa.float32()))], [key, "embedding"])
+                vectors = encode([prefix + (t or "") for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(vectors), pa.list_(pa.float32()))], [key, "embedding"])
 
     kind = dict(texts.dtypes)[key]
     return texts.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>").withColumn("model_name", F.lit(model))

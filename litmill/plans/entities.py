@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.functions import arrays, dates, text
-from litmill.operators import dedup, labels, reports, resolve, topics, vectors
+from litmill.operators import agreement, dedup, labels, reports, resolve, topics, vectors
 from litmill.plans import jobs
 from litmill.plans.register import query, t
 from litmill.sources import articles, services, tables
@@ -290,6 +290,31 @@ def q_numeric_id_order(spark, d):
     return ranked.select(F.col("pmid").cast("long").alias("user_id"), F.col("place").cast("long").alias("place"))
 
 
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_name DESC, c_custkey) AS progress FROM customer")
+def q_progress_index(spark, d):
+    rows = tables.with_row_ids(t(spark, d, "customer").select("c_custkey", "c_name"), [F.col("c_name").desc(), F.col("c_custkey").asc()])
+    return rows.select("c_custkey", (F.col("row_id") + 1).cast("long").alias("progress"))
+
+
+@query("""SELECT doc_id, lang IN ('en', 'o''clock', 'a\b') AS listed, 'o''clock' AS word FROM documents WHERE lang IS NOT NULL""")
+def q_quoted_literals(spark, d):
+    listed = ", ".join(map(text.sql_literal, ("en", "o'clock", "a\\b")))
+    return t(spark, d, "documents").filter("lang IS NOT NULL").selectExpr("doc_id", f"lang IN ({listed}) AS listed", f"{text.sql_literal(chr(111) + chr(39) + 'clock')} AS word")
+
+
+@query("SELECT source, 'both' AS side FROM (SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'de') UNION ALL SELECT source, 'only' FROM (SELECT source FROM documents WHERE length(text) > 50 EXCEPT SELECT source FROM documents WHERE doc_id % 40 = 0)")
+def q_set_intersection_difference(spark, d):
+    docs = t(spark, d, "documents")
+    of = lambda where: docs.filter(where).select("source")
+    both, only = of("lang = 'en'").intersect(of("lang = 'de'")), of("length(text) > 50").subtract(of("doc_id % 40 = 0"))
+    return both.withColumn("side", F.lit("both")).union(only.withColumn("side", F.lit("only")))
+
+
+@query("SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS code FROM orders")
+def q_label_codes(spark, d):
+    return agreement.codes(t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority").select("o_orderkey", "code")
+
+
 # Topics
 
 

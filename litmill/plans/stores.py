@@ -15,7 +15,7 @@ from litmill.plans import jobs
 from litmill.plans.register import query, t
 from litmill.schemas import conform
 from litmill.session import shared_folder
-from litmill.sources import drivers, tables
+from litmill.sources import drivers, tables, workbooks
 
 STAMP = "2026-01-01T00:00:00+00:00"
 
@@ -182,6 +182,38 @@ def q_enrich_from_services(spark, d):
     return spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
+class Matcher:
+    """A client of affiliation lookups: nations by name with a score of their length."""
+
+    def match(self, text):
+        if text.startswith("NATION_1"):
+            raise OSError("refused")
+        return json.dumps({"items": [{"organization": {"id": f"R{text}", "name": text, "country": {"country_code": "XX"}, "types": ["x"]}, "score": 0.9 if text.endswith(("2", "4")) else 0.5}]})
+
+
+@query("""SELECT n_name AS raw_string, CASE WHEN n_nationkey = 1 THEN 'kept' WHEN n_name LIKE '%2' OR n_name LIKE '%4' THEN 'R' || n_name ELSE '' END AS ror_id, CASE WHEN n_nationkey = 1 THEN 1.0 WHEN n_name LIKE '%2' OR n_name LIKE '%4' THEN 0.9 ELSE 0.5 END::DOUBLE AS match_score
+FROM nation WHERE n_name NOT LIKE 'NATION_1%' OR n_nationkey = 1""")
+def q_affiliation_lookup(spark, d):
+    """A cache that holds one nation is asked to hold all; what fails is left out."""
+    path, nations = f"{shared_folder(spark, 'affiliations')}/cache.parquet", t(spark, d, "nation")
+    held = nations.filter("n_nationkey = 1").select(F.col("n_name").alias("raw_string"), F.lit("kept").alias("ror_id"), F.lit(1.0).alias("match_score"))
+    tables.flush_cache(spark, path, conform(held, "affiliation_cache"), ["raw_string"])
+    rows = drivers.affiliations(spark, path, nations.select(F.col("n_name").alias("raw_string")), Matcher, attempts=1, at=STAMP)
+    return rows.select("raw_string", "ror_id", "match_score")
+
+
+@query("SELECT doc_id AS pmid, 'r1' AS rater, coalesce(lang, '') || ' <&> ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'other' END AS study_design FROM documents WHERE doc_id % 3 = 0")
+def q_label_workbook(spark, d):
+    """A sheet as a workbook, read back."""
+    i = F.col("doc_id")
+    sample = t(spark, d, "documents").filter("doc_id % 3 = 0").select(i.alias("pmid"), F.concat(F.coalesce("lang", F.lit("")), F.lit(" <&> "), i.cast("string")).alias("title"), F.lit("a").alias("abstract"))
+    sheet = labels.sheet(sample, "r1").withColumn("study_design", F.when(F.col("pmid") % 2 == 0, "other").otherwise(""))
+    root = Path(shared_folder(spark, "workbook").removeprefix("file:"))
+    root.mkdir(parents=True)
+    workbooks.write_sheet(sheet, str(root / "sheet.xlsx"))
+    return workbooks.read_sheet(spark, str(root / "sheet.xlsx")).select(F.col("pmid").cast("long").alias("pmid"), "rater", "title", "study_design")
+
+
 # Harvest
 
 
@@ -253,6 +285,19 @@ def q_assignment_rows(spark, d):
     return spark.read.parquet(f"{root}/topics.parquet").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT count(*) AS assigned, CAST(count(DISTINCT label) AS INTEGER) AS topics, true AS same_config FROM embeddings")
+def q_topic_model_saved(spark, d):
+    """A saved model assigns a topic to every vector it was made of, as each lies within reach of its own."""
+    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("pmid"), F.col("label").cast("long").alias("topic_id"), "embedding")
+    path = shared_folder(spark, "model")
+    words = v.select("topic_id").distinct().select("topic_id", F.array(F.lit("w")).alias("words"))
+    topics.save_model(path, v.select("pmid", "topic_id"), v.select("pmid", "embedding"), words, topics.TopicConfig())
+    config, model = topics.load_model(spark, path)
+    found = topics.apply_model(v.select("pmid", "embedding"), model)
+    kept = found.agg(F.count(F.lit(1)).alias("assigned"))
+    return kept.select("assigned", F.lit(model.count()).alias("topics"), F.lit(config == topics.TopicConfig()).alias("same_config"))
+
+
 _STOP = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmill.session import expose_package, written
-from litmill.sources import tables
+from litmill.sources import services, tables
 from litmill.sources.search import RateLimiter, retried
 
 BATCH = 50
@@ -115,3 +115,38 @@ def drive(spark: SparkSession, root: str, source: str, ids: DataFrame, make_clie
 def documents(spark: SparkSession, root: str, source: str, schema: str) -> DataFrame:
     """Rows (pmid, document) of a source's cache; a document that doesn't fit the schema is null."""
     return tables.read_cache(spark, f"{root}/{source}_cache.parquet", schema).select("pmid", "document")
+
+
+ITEMS = "array<struct<organization: struct<id: string, name: string, country: struct<country_code: string>, types: array<string>>, score: double>>"
+
+
+def affiliations(spark: SparkSession, path: str, raw: DataFrame, make_client: Callable, gate: float = 0.85, rate: float | None = None, attempts: int = 5, at: str | None = None) -> DataFrame:
+    """The cache of affiliation lookups (at ``path``) with all of ``raw`` (raw_string): what it holds, hits and misses
+    alike, isn't asked for again. A client has ``match(text) -> JSON text`` with ``items``, the best first; an item counts
+    if its score passes the gate. A text whose request fails is left out and asked for the next time."""
+    expose_package(spark)
+    now = at or datetime.now(UTC).isoformat(timespec="seconds")
+    known = tables.affiliation_cache(spark, path)
+    wanted = raw.select(F.trim("raw_string").alias("raw_string")).filter("raw_string <> ''").distinct().join(known.select("raw_string"), "raw_string", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, limiter = make_client(), RateLimiter(rate) if rate else None
+
+        def ask(text: str) -> str:
+            if limiter is not None:
+                limiter.acquire()
+            return client.match(text)
+
+        for batch in batches:
+            out = []
+            for text in batch["raw_string"]:
+                try:
+                    out.append((text, retried(lambda text=text: ask(text), attempts)))
+                except OSError:
+                    continue
+            yield pd.DataFrame(out, columns=["raw_string", "body"])
+
+    answered = written(wanted.mapInPandas(run, "raw_string string, body string"), "affiliations")
+    items = answered.select("raw_string", F.from_json("body", f"items {ITEMS}").getField("items").alias("items"))
+    tables.flush_cache(spark, path, tables.conform(services.affiliation_matches(items, now, gate), "affiliation_cache"), ["raw_string"])
+    return tables.affiliation_cache(spark, path)

@@ -1,12 +1,13 @@
 import json
+import zipfile
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from litmill.operators import index, reports, topics
-from litmill.sources import drivers, search, tables
+from litmill.operators import index, labels, reports, topics, vectors
+from litmill.sources import drivers, search, tables, workbooks
 
 
 class Flaky:
@@ -153,3 +154,41 @@ def test_automatic_reduction():
     centres = np.array([[1.0, 0.0], [0.99, 0.05], [0.0, 1.0]])
     labels, left = topics._merged(np.array([0, 0, 1, 2, 2, -1]), centres, 1, topics.NEAR_TOPICS)
     assert labels.tolist() == [0, 0, 0, 1, 1, -1] and len(left) == 2
+
+
+def test_workbook(spark, tmp_path):
+    rows = [(3, "a <b> & c\x01", None), (12, "é😀 line\nbreak", "x" * 40_000)]
+    sample = spark.createDataFrame(rows, "pmid long, title string, abstract string")
+    path = str(tmp_path / "s.xlsx")
+    assert workbooks.write_sheet(labels.sheet(sample, "r1"), path) == 2
+    with zipfile.ZipFile(path) as z:
+        body = z.read("xl/worksheets/sheet1.xml").decode()
+        assert body.count("<dataValidation ") == 5 and "RCT,cohort" in body and len(z.namelist()) == 6
+    got = workbooks.read_sheet(spark, path).orderBy(F.col("pmid").cast("int")).collect()
+    assert [(r.pmid, r.rater, r.title, r.abstract) for r in got] == [("3", "r1", "a <b> & c", None), ("12", "r1", "é😀 line\nbreak", "x" * 40_000)]
+    with pytest.raises(ValueError, match="expected the columns"):
+        workbooks.read_sheet(spark, path, ["pmid"])
+
+
+def test_shared_strings_and_blank_rows(spark, tmp_path):
+    ns = f'xmlns="{workbooks.MAIN}"'
+    sheet = f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>b</t></is></c></row><row r="2"/><row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3" t="b"><v>1</v></c></row><row r="4"><c r="A4"><v>7</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "x.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>a</t></si><si><r><t>one </t></r><r><t>two</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    got = workbooks.read_sheet(spark, str(tmp_path / "x.xlsx"), ["a", "b"]).collect()
+    assert [tuple(r) for r in got] == [("one two", "TRUE"), ("7", None)]
+
+
+def test_encoder_settings(spark):
+    seen = []
+
+    def make(name, device=None, revision=None, max_length=None):
+        seen.append((name, device, revision, max_length))
+        return vectors.make_encoder(name, max_length=max_length)
+
+    df = spark.createDataFrame([(1, "one two three"), (2, "one two four")], "pmid long, text string")
+    a, b = (r.embedding for r in vectors.embed(df, make=make, device="cpu", revision="r", max_length=2).orderBy("pmid").collect())
+    assert a == b and seen[0] == ("mpnet", "cpu", "r", 2)
+    with pytest.raises(ValueError, match="batch"):
+        vectors.embed(df, batch=0)
