@@ -7,11 +7,12 @@ language. The language of the lowest cross-entropy per predicted sign wins; ties
 cross-entropy lies far above what texts of its language show on a calibration fold is rejected; so is one without
 letters, which has no language (``und``).
 
-The models are fitted on at most ``sample_rows`` labelled rows per language, those of the lowest hashed ids, a fifth
-of which calibrate the score and the rejection. Every text is then read whole.
+The models are fitted on at most ``sample_rows`` different labelled rows per language, those of the lowest hashed ids, a
+fifth of which calibrate the score and the rejection. Every text is then read whole, in the sample as well.
 
 Rows without text, language or id are not learnt from; a null text is ``und``; repeated rows give repeated rows; an
-empty table gives an empty result; a table without labels gives ``und`` throughout.
+empty table gives an empty result; a table without labels gives ``und`` throughout; ``keep_identified`` carries extra
+columns along whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from litmill.llm.common import broadcast_if_small, expose_package, only, slices
+from litmill.llm.common import broadcast_if_small, expose_package, lowest, only, slices
 
 ORDER = 5
 SAMPLE_ROWS = 500
@@ -268,11 +268,12 @@ def train(docs: DataFrame, learn: Column | None = None, sample_rows: int = SAMPL
     """Models of the languages of ``docs``, from the rows that ``learn`` allows (all labelled rows if None)."""
     labelled = docs.filter(F.col(text_column).isNotNull() & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull())
     labelled = labelled.filter(learn) if learn is not None else labelled
-    labelled = labelled.select(F.col(lang_column).alias("lang"), F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.col(text_column).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    limits = labelled.select("lang", "h").withColumn("nth", nth).filter(F.col("nth") <= sample_rows).groupBy("lang").agg(F.max("h").alias("top"))
-    limits = docs.sparkSession.createDataFrame(limits.collect(), "lang string, top long")  # a row for each language
-    sample = labelled.join(broadcast_if_small(limits, limits.count()), "lang").filter("h <= top")
+    labelled = labelled.select(F.col(lang_column).alias("lang"), F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.xxhash64(text_column).alias("t"), F.col(text_column).alias("text"))
+    chosen = lowest(labelled.select("lang", "h", "t"), sample_rows, ["lang"])
+    limits = chosen.groupBy("lang").agg(F.max(F.struct("h", "t")).alias("top"))
+    limits = docs.sparkSession.createDataFrame(limits.select("lang", "top.h", "top.t").collect(), "lang string, top_h long, top_t long")  # a row for each language
+    sample = labelled.join(broadcast_if_small(limits, limits.count()), "lang").filter("struct(h, t) <= struct(top_h, top_t)")
+    sample = sample.groupBy("lang", "h", "t").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
