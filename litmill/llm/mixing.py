@@ -10,7 +10,8 @@ settle so that the number of words comes nearest. Long documents go first, so th
 them. Random numbers depend on the source, round and bucket alone, so reruns agree.
 
 Rows with the same id, source and text are one document and are taken together. A null text has size 0; null ids and
-sources are values of their own, and the null source is ordered last; an empty table gives an empty result.
+sources are values of their own, and the null source is ordered last; texts are counted whole; ``mixed`` carries extra
+columns along whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from litmill.llm.common import Scratch, broadcast_if_small, expose_package
+from litmill.llm.common import Scratch, broadcast_if_small, expose_package, running, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -40,23 +40,22 @@ def words(text_column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """``sizes`` (source, n, source_size) with rank (by code point, null last) and target.
 
     The targets are min(level * weight, most * size) at the level where they add up to all sizes: in the order of
     the level at which a source is full, the level among those that are not full yet is known from running totals."""
-    everything = Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("rank", rank.cast("long")).withColumn("weight", weight).withColumn("full", F.col("source_size") * F.lit(float(most)))
-    order = everything.orderBy(F.col("full") / F.col("weight"), "rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    leveled = ranked.withColumn("level", level).withColumn("open", F.col("full") / F.col("weight") > F.col("level"))
-    first = F.max(F.when(F.col("open"), F.col("level"))).over(everything)  # levels fall from the first open source on
-    target = F.when(F.col("open"), first * F.col("weight")).otherwise(F.col("full"))
-    return leveled.withColumn("target", F.least(target, F.col("full"))).select("source", "n", "source_size", "rank", "target")
+    ranked = running(scratch, sizes, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
+    ranked = scratch.write(ranked.withColumn("weight", weight).withColumn("full", F.col("source_size") * F.lit(float(most))))
+    order = [(F.col("full") / F.col("weight")).asc(), F.col("rank").asc()]
+    leveled = running(scratch, ranked, order, {"full_before": F.col("full"), "weight_before": F.col("weight")})
+    whole = F.broadcast(ranked.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")))  # one row
+    level = (F.col("words") - F.col("full_before")) / (F.col("weights") - F.col("weight_before"))
+    leveled = scratch.write(leveled.join(whole).withColumn("level", level).withColumn("open", F.col("full") / F.col("weight") > F.col("level")))
+    first = F.broadcast(leveled.agg(F.max(F.when(F.col("open"), F.col("level"))).alias("first")))  # one row; levels fall from the first open source on
+    target = F.when(F.col("open"), F.col("first") * F.col("weight")).otherwise(F.col("full"))
+    return leveled.join(first).withColumn("target", F.least(target, F.col("full"))).select("source", "n", "source_size", "rank", "target")
 
 
 def _outsized(size: list[float], p: list[float], draws: list[float]) -> int:
@@ -152,7 +151,7 @@ def copies(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_co
     )
     units = scratch.write(rows.groupBy("doc_id", "source", "h", "size").agg(F.count(F.lit(1)).alias("k")))
     sizes = units.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * F.col("k")).alias("source_size"))
-    sources = scratch.write(targets(sizes).withColumnRenamed("source", "of_source"))
+    sources = scratch.write(targets(scratch, sizes).withColumnRenamed("source", "of_source"))
     many = sources.count()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = units.join(broadcast_if_small(sources, many), F.col("source").eqNullSafe(F.col("of_source")))
@@ -198,7 +197,8 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """The rows of ``docs`` as often as the mix takes them."""
     scratch = Scratch(docs.sparkSession, "mixing")
     chosen, _ = copies(docs, scratch, id_column, text_column, source_column)
-    chosen = chosen.filter("copies > 0").select(F.col("h").alias("_h"), F.col("doc_id").alias("_id"), "copies").withColumnRenamed("copies", "_copies")
-    rows = docs.withColumn("_own", identity(id_column, text_column, source_column))
-    joined = rows.join(chosen.hint("shuffle_hash"), (F.col("_own") == F.col("_h")) & F.col(id_column).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    own, h, doc, copies_, copy = (unused(docs, c) for c in ("own_hash", "taken_hash", "taken_id", "taken_copies", "taken_copy"))
+    chosen = chosen.filter("copies > 0").select(F.col("h").alias(h), F.col("doc_id").alias(doc), F.col("copies").alias(copies_))
+    rows = docs.withColumn(own, identity(id_column, text_column, source_column))
+    joined = rows.join(chosen.hint("shuffle_hash"), (F.col(own) == F.col(h)) & F.col(id_column).eqNullSafe(F.col(doc)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies_)))).select(*[F.col(c) for c in docs.columns])
