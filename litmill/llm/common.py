@@ -98,6 +98,13 @@ class Scratch:
         if path:
             delete(self.spark, path)
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Removes all tables but these, once nothing else is read any more."""
+        kept = {getattr(df, "_scratch_path", None) for df in tables}
+        for n in range(1, self.count + 1):
+            if (path := f"{self.path}/{n:03d}") not in kept:
+                delete(self.spark, path)
+
     def close(self) -> None:
         try:
             delete(self.spark, self.path)

@@ -87,30 +87,33 @@ def _long_simhash(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str, only: DataFrame | None = None) -> DataFrame:
-    """Rows (doc, id, digits: whether there are any in the text, pos, line) of the lines that take part; of the documents
-    in ``only`` (doc) where it is given."""
-    rows = docs.select(row_key(id_column, text_column).alias("doc"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    """Rows (doc, id, digits: whether there are any in the text, pos, line) of the lines that take part, and of the first
+    line of every document, which may be empty; of the documents in ``only`` (doc) where it is given."""
+    rows = docs.select(row_key(id_column, text_column).alias("doc"), F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
     if only is not None:
         rows = rows.join(keys_to_join(only), "doc", "left_semi")
     rows = rows.withColumn("digits", F.col("text").rlike("[1-9]"))
     split = rows.select("doc", "id", "digits", F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("pos", "raw"))
-    return split.select("doc", "id", "digits", "pos", F.trim("raw").alias("line")).filter("line <> ''")
+    return split.select("doc", "id", "digits", "pos", F.trim("raw").alias("line")).filter("line <> '' OR pos = 0")
 
 
 def hashed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (doc, id, pos, h: a hash of the line, size: its length, fp: its SimHash)."""
-    keys = ["doc", "id", "pos", "h", "size"]
+    """Rows (doc, id, pos, h: a hash of the line, size: its length, fp: its SimHash) of ``_lines``, each as often as
+    it occurs: ``row`` tells equal documents apart while the bits of their words are counted, and no longer."""
+    keys = ["row", "doc", "id", "pos", "h", "size"]
     line, long = F.col("line"), F.col("size") > 2 * COUNTED  # else it has no more words than can be counted
-    hashed = _lines(docs, id_column, text_column).withColumn("h", F.xxhash64("line")).withColumn("size", F.length("line"))
+    hashed = _lines(docs, id_column, text_column).withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("line")).withColumn("size", F.length("line"))
     words = F.when(long, F.array(_long_simhash(line).cast("string"))).otherwise(_words(line, F.col("digits")))
     each = hashed.select(*keys, F.explode(words).alias("word")).select(*keys, F.when(long, F.col("word").cast("long")).otherwise(F.xxhash64("word")).alias("w"))
     counters = [f"c{n}" for n in range(16)]
     counted = each.groupBy(*keys).agg(*[F.sum(x).alias(c) for c, x in zip(counters, _added(F.col("w"), 16), strict=True)], F.count(F.lit(1)).alias("n"))
-    return counted.select(*keys, _majority([F.col(c) for c in counters], F.col("n")).alias("fp"))
+    return counted.select(*keys[1:], _majority([F.col(c) for c in counters], F.col("n")).alias("fp"))
 
 
 def different_lines(occurrences: DataFrame) -> DataFrame:
-    """Rows (h, fp, size, n: occurrences, at: order, document and position of the first) of different lines."""
+    """Rows (h, fp, size, n: occurrences, at: order, document and position of the first) of different lines that aren't
+    empty."""
+    occurrences = occurrences.filter("size > 0")
     integral = occurrences.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
     number = F.col("id").cast("decimal(20,0)") * F.lit("4294967296").cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
     last = F.lit("1" + 31 * "0").cast("decimal(32,0)") + F.col("pos").cast("decimal(10,0)")
@@ -220,39 +223,47 @@ def similar(a: Column, b: Column) -> Column:
     return F.when(~_long_enough(F.length(a), F.length(b)), False).when(F.greatest(F.length(a), F.length(b)) <= SHORT, within(a, b)).otherwise(_let(left(), judged))
 
 
-def verified(scratch: Scratch, docs: DataFrame, lines: DataFrame, pairs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The pairs (a, b) that are similar. Texts are read from the documents that hold the first occurrences."""
-    pairs = scratch.write(pairs)
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    wanted = scratch.write(lines.join(ends, "h", "left_semi").select("h", "at.doc"))
+def texts_of(scratch: Scratch, docs: DataFrame, lines: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Rows (h, line) of the lines (h, at), read from the documents that hold their first occurrences."""
+    wanted = scratch.write(lines.select("h", "at.doc"))
     found = _lines(docs, id_column, text_column, wanted.select("doc").distinct()).select(F.xxhash64("line").alias("h"), "line")
-    texts = scratch.write(found.join(keys_to_join(wanted.select("h")), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
-    linked = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    out = scratch.write(linked.filter(similar(F.col("x"), F.col("y"))).select("a", "b"))
-    scratch.drop(texts)
-    return out
+    return scratch.write(found.join(keys_to_join(wanted.select("h")), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
 
 
-def kept_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (doc, pos): the occurrence of every group that stays; ``doc`` is the ``row_key`` of the document."""
-    scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.write(different_lines(hashed_lines(docs, id_column, text_column)))
+def verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ``texts`` (h, line) are similar."""
+    end = lambda h, line: texts.select(F.col("h").alias(h), F.col("line").alias(line))
+    linked = scratch.write(pairs).join(end("a", "x"), "a").join(end("b", "y"), "b")
+    return scratch.write(linked.filter(similar(F.col("x"), F.col("y"))).select("a", "b"))
+
+
+def firsts_of(scratch: Scratch, docs: DataFrame, occurrences: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows (doc, pos): the occurrence of every group of lines that stays."""
+    lines = scratch.write(different_lines(occurrences))
     fps = scratch.write(lines.groupBy("fp").agg(F.max("n").alias("n"), F.max_by("h", "n").alias("h"), F.count(F.lit(1)).alias("lines")))
     shared = scratch.write(shared_keys(scratch, fps))
-    stars = verified(scratch, docs, lines, star_pairs(lines, fps, shared), id_column, text_column)
-    roots = scratch.write(components(scratch, stars))
     wanted = scratch.write(shared.select("fp").union(fps.filter("lines > 1").select("fp")).distinct())
-    candidates = lines.select("h", "fp", "size").join(keys_to_join(wanted), "fp", "left_semi")
+    candidates = scratch.write(lines.join(keys_to_join(wanted), "fp", "left_semi"))
+    texts = texts_of(scratch, docs, candidates, id_column, text_column)
+    stars = verified(scratch, texts, star_pairs(candidates, fps, shared))
+    roots = scratch.write(components(scratch, stars))
     named = candidates.join(keys_to_join(roots, BROADCAST_KEYS // 2), F.col("h") == F.col("node"), "left").select("h", "fp", "size", F.coalesce("root", "h").alias("root"))
     crossing = scratch.write(cross_pairs(scratch, scratch.write(named), shared))
     if not crossing.isEmpty():
-        more = verified(scratch, docs, lines, crossing, id_column, text_column)
-        roots = scratch.write(components(scratch, more.union(roots.select("node", "root"))))
+        roots = scratch.write(components(scratch, verified(scratch, texts, crossing).union(roots.select("node", "root"))))
     linked = lines.select("h", "at").join(keys_to_join(roots, BROADCAST_KEYS // 2), F.col("h") == F.col("node"), "left")
     firsts = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min("at").alias("at"))
     return scratch.write(linked.filter("root IS NULL").select("at.doc", "at.pos").union(firsts.select("at.doc", "at.pos")))
 
 
+def kept_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows (doc, pos): the occurrence of every group that stays; ``doc`` is the ``row_key`` of the document."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    kept = firsts_of(scratch, docs, hashed_lines(docs, id_column, text_column), id_column, text_column)
+    scratch.keep_only(kept)
+    return kept
+
+
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without the lines that repeat one before, other columns as they are."""
     key, places, first, row = (unused(docs, c) for c in ("doc_key", "kept_places", "first_row", "row_number"))
@@ -273,10 +284,13 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def line_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, n_lines (that take part), n_kept, n_dropped."""
-    kept = kept_lines(docs, id_column, text_column).groupBy("doc").agg(F.count(F.lit(1)).alias("kept"))
-    lines = F.coalesce(F.regexp_count(F.col(text_column), F.lit(rf"[^{SPACE}\n][^\n]*")), F.lit(0)).cast("long")
-    rows = docs.select(row_key(id_column, text_column).alias("doc"), F.col(id_column).alias("id"), lines.alias("n_lines"))
-    rows = rows.groupBy("doc", "id", "n_lines").agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.join(kept, "doc", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    scratch = Scratch(docs.sparkSession, "lines")
+    occurrences = scratch.write(hashed_lines(docs, id_column, text_column))
+    kept = firsts_of(scratch, docs, occurrences, id_column, text_column)
+    counted = scratch.write(occurrences.groupBy("doc", "id").agg(F.count_if(F.col("size") > 0).alias("all"), F.count_if(F.col("pos") == 0).alias("copies")))
+    scratch.keep_only(kept, counted)
+    of_doc = kept.groupBy("doc").agg(F.count(F.lit(1)).alias("kept"))
+    rows = counted.join(of_doc, "doc", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    n_lines = (F.col("all") / F.col("copies")).cast("long")  # every row has a first line
     n_kept = F.when(F.col("copy") == 1, F.coalesce("kept", F.lit(0))).otherwise(0).cast("long")
-    return rows.select(F.col("id").alias(id_column), "n_lines", n_kept.alias("n_kept"), (F.col("n_lines") - n_kept).alias("n_dropped"))
+    return rows.select(F.col("id").alias(id_column), n_lines.alias("n_lines"), n_kept.alias("n_kept"), (n_lines - n_kept).alias("n_dropped"))

@@ -190,5 +190,6 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     grouped = scratch.write(grouped.select("node", "least", F.coalesce("root", "node").alias("root")))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.write(grouped.join(named, "root").select("node", "component_id"))  # of those that aren't alone
+    scratch.keep_only(rows, named)
     out = rows.select("id", "node").join(keys_to_join(named, BROADCAST_KEYS // 2), "node", "left")
     return out.select(F.col("id").alias(id_column), F.coalesce("component_id", "id").alias("component_id"))

@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_column: str = "doc_id",
     grouped = scratch.write(grouped.select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     of_value = scratch.write(grouped.join(named, "root").select("fp", "component_id"))  # of those that aren't alone
+    scratch.keep_only(rows, of_value)
     return rows.join(keys_to_join(of_value, BROADCAST_KEYS // 2), "fp", "left").select(
         F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id")
     )

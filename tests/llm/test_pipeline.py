@@ -44,3 +44,33 @@ def test_mixture_and_file(spark, steps):
 
 def test_run(spark, steps):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, steps["token_file"].collect()))
+
+
+def stages(spark, docs, sf):
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(stage(spark, out[-1], sf))
+        if len(out) <= 5:
+            assert out[-1].columns == docs.columns
+        rows = out[-1].collect()
+        out[-1] = spark.createDataFrame(rows, out[-1].schema)
+    return out
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = {"row_key": "a", "own_hash": "b", "taken_copies": "c", "component_id": "d", "key": "e", "hash": "f"}
+    more = [(None, None, None, None, 1), (7001, None, "en", "s", 1), (7002, "", "en", None, 1), (None, docs.first().text, None, "s", 1), (7003, "word " * 20000, "en", "s", 1), (7003, "word " * 20000, "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).selectExpr("*", *[f"concat('{v}', doc_id) AS `{k}`" for k, v in names.items()])
+    out = stages(spark, docs, SF)
+    assert out[5].count() == out[4].count() > 0
+    for step in out[1:5]:
+        assert all(r[k] == (None if r.doc_id is None else f"{v}{r.doc_id}") for r in step.collect() for k, v in names.items())
+    assert {r.text for r in out[2].collect()} <= {r.text for r in out[1].collect()} <= {r.text for r in docs.collect()}
+    kept = [r.text for r in out[2].collect()]
+    assert len(kept) == len(set(kept))
+
+
+def test_empty_table(spark):
+    out = stages(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF)
+    assert [d.count() for d in out] == [0] * 6

@@ -58,7 +58,7 @@ def test_round_trip_and_spans():
         for data in (ids, np.full(n, 7, np.uint16), (rng.integers(0, 1 << 20, n) * 4000).astype(np.uint32)):
             alphabet, rules, rounds, symbols = R.compress(data)
             shard = R.Shard(alphabet, rules, rounds, symbols)
-            assert (shard.ids() == data).all() and int(rounds.sum()) == len(rules) and len(shard.rule_lengths()) == len(rules)
+            assert (shard.ids() == data).all() and int(rounds.sum()) == len(rules) and R.rule_lengths(len(alphabet), rules, rounds).tolist() == shard.size[len(alphabet) :].tolist()
             for a, b in rng.integers(0, n + 1, (20, 2)):
                 assert (shard.span(min(a, b), max(a, b)) == data[min(a, b) : max(a, b)]).all()
     assert len(R.compress(np.tile(np.arange(10, dtype=np.uint16), 1000))[3]) < 40
