@@ -37,15 +37,20 @@ _HELD: dict = {}
 def only(key, make):
     """What ``make`` gave for ``key`` in this worker. Workers are reused, so what another step held goes first."""
     if key not in _HELD:
-        _HELD.clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
-        if trim:
-            trim(0)
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def release() -> None:
+    """Lets go of what another step held in this worker, and hands freed memory back."""
+    _HELD.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table."""
     expose_package(spark)

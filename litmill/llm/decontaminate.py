@@ -40,7 +40,7 @@ from litmill.llm.common import BROADCAST_ROWS, Scratch, expose_package, keys_to_
 WINDOW, MIN_LITERALS, MIN_COVERAGE, MIN_CONSISTENT = 8, 4, 0.5, 0.8
 #: Bits of the map of the benchmark's hashes: 8 MB.
 MAP_BITS = 26
-SLICE_BYTES, CACHE_WORDS = 2 << 20, 300_000
+SLICE_BYTES, CACHE_WORDS = 2 << 20, 200_000
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Number words and unit words.

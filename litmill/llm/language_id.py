@@ -33,7 +33,7 @@ from litmill.llm.common import broadcast_if_small, expose_package, lowest, only,
 
 ORDER = 5
 SAMPLE_ROWS = 500
-SLICE_BYTES, CACHE_CHUNKS = 2 << 20, 400_000
+SLICE_BYTES, CACHE_CHUNKS = 2 << 20, 250_000
 START, END = "\x02", "\x03"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import Scratch, broadcast_if_small, expose_package, running, unused
+from litmill.llm.common import Scratch, broadcast_if_small, expose_package, release, running, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -123,6 +123,7 @@ def _flight(units: DataFrame, level: int) -> DataFrame:
         return table.combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.RecordBatch] = []
         of = None
         for batch in batches:

@@ -36,9 +36,9 @@ from pyspark.sql.window import Window
 
 from litmill.llm.common import Scratch, broadcast_if_small, expose_package, only, slices
 
-SHARD_IDS = 2 << 20
+SHARD_IDS = 1 << 20
 #: Bytes of text encoded at once, and pieces and their ids that are held.
-SLICE_BYTES, CACHE_CHUNKS, CACHE_IDS = 12 << 20, 800_000, 8 << 20
+SLICE_BYTES, CACHE_CHUNKS, CACHE_IDS = 2 << 20, 400_000, 4 << 20
 #: New pieces that the library encodes as one text.
 TOGETHER = 200
 #: Bytes of lower-case text by kind: letters and digits a, full stops and commas p, white space s, the lead byte of

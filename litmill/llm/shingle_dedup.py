@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import BROADCAST_KEYS, Scratch, components, expose_package, keys_to_join, slices
+from litmill.llm.common import BROADCAST_KEYS, Scratch, components, expose_package, keys_to_join, release, slices
 from litmill.llm.simhash import SLICE_BYTES, forest, hamming_links, majority, names, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -44,6 +44,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np
     """(ids, sets of shingle hashes in order, their sizes, a hash of each) of rows (id, text)."""
     from xxhash import xxh64_intdigest
 
+    release()
     for batch in batches:
         text = pc.fill_null(pc.cast(batch.column(1), pa.binary()), b"")
         for i, j in slices(text, SLICE_BYTES):
@@ -119,6 +120,7 @@ def link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = similar_pairs(rows.column("node").to_numpy(), offsets, pc.list_flatten(shingles).to_numpy())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    release()
     held, last = [], None
     for batch in batches:
         group = batch.column(0).to_numpy()

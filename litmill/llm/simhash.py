@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.llm.common import BROADCAST_KEYS, Scratch, components, expose_package, keys_to_join, row_key, slices, unused
+from litmill.llm.common import BROADCAST_KEYS, Scratch, components, expose_package, keys_to_join, release, row_key, slices, unused
 
 SLICE_BYTES = 2 << 20
 #: Members that one key's group may have within one task.
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_column: str = "doc_id", tex
     """Rows (id, fp: the fingerprint as a signed long) of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             text = pc.fill_null(pc.cast(batch.column(1), pa.binary()), b"")
             parts = []
@@ -237,6 +238,7 @@ def _words(n: int) -> list[str]:
 def link_sorted(batches: Iterator[pa.RecordBatch], bits: int, limit: int | None, words: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b, -1) of rows (group, value ...) that come sorted by group. A group of over ``limit`` rows is not
     compared: its rows come out as (group, 0, block, value ...) for the second step."""
+    release()
     linker = Linker(bits)
     group, value = np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
     large, seen = None, 0  # the group that is being passed on, and how many of its rows have gone
@@ -288,6 +290,7 @@ def hamming_links(scratch: Scratch, values: DataFrame, bits: int = MAX_BITS) ->
     fields = [f"word{i}" for i in range(words)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             fp = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns], axis=1)
             for i in range(0, len(fp), 4096):
