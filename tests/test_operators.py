@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,6 +220,38 @@ def test_roadmap(spark):
     assert roadmap.archetypes(s, "a", "b").select("archetype").distinct().count() == 2
 
 
+def test_cd_index_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(roadmap, "BLOCK_EDGES", 60)
+    monkeypatch.setattr(roadmap, "PART_EDGES", 50)
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 400), rng.zipf(1.4, 400) % 60, strict=True)] + [(None, 3), (None, 3), (5, None), (2**62, -(2**62)), (7, -(2**62)), (7, 7)]
+    known = {(a, b) for a, b in pairs if a is not None and b is not None}
+    citers, want = {}, {}
+    for a, b in known:
+        citers.setdefault(b, set()).add(a)
+    for x in {a for a, _ in known} | set(citers) | {None}:
+        f = set(citers.get(x, ())) | {a for a, b in pairs if b == x and (a is None or b is None)}
+        through = {y for a, b in known if a == x for y in citers[b]} - {x}
+        if f | through:
+            want[x] = (len(f | through), round((len(f) - 2 * len(f & through)) / len(f | through), 9))
+    for kind, of in (("long", lambda x: x), ("string", lambda x: x if x is None else f"w{x}")):
+        df = spark.createDataFrame([(of(a), of(b)) for a, b in pairs], f"citing {kind}, cited {kind}")
+        assert {r.focal: (r.n, round(r.cd, 9)) for r in roadmap.cd_index(df).collect()} == {of(x): v for x, v in want.items()}
+
+
+def test_cd_index_in_portions(monkeypatch):
+    """Lists of one block compared a few pairs at a time give the same; a pair of works is never a row that is shuffled."""
+    c, r = np.repeat(np.arange(40), 5), np.tile(np.arange(5), 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(c), pa.array(r)], ["c", "r"])
+    whole = []
+    for most in (4_000_000, 7):
+        monkeypatch.setattr(roadmap, "PAIRS_AT_ONCE", most)
+        tables = [pa.Table.from_batches([b]) for b in roadmap._citers_by_block(iter([batch]), np.array([10, 20, 30]))]
+        assert sum(t.nbytes for t in tables) < 40 * 40 * 5
+        whole.append(sorted(tuple(x.values()) for t in tables for x in roadmap._later_of_block(t).to_pylist()))
+    assert whole[0] == whole[1] and [x for x in whole[0] if x[0] == 9] == [(9, 39, 0)]
+
+
 def test_streams(spark, tmp_path):
     kinds = T.StructType.fromDDL("ts timestamp, event_type string, value double, user_id long, event_id long")
     src = str(tmp_path / "in")
