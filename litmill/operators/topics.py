@@ -11,9 +11,12 @@ import time
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,21 +91,48 @@ def word_lists(top: DataFrame, topic: str = "topic_id") -> DataFrame:
 # Coherence
 
 
+def _terms_of_windows(batches: Iterator[pa.RecordBatch], vocabulary: list[str], size: int) -> Iterator[pa.RecordBatch]:
+    """Different sets of vocabulary words in the windows of token lists, with how many windows hold them. A word is in the
+    windows that begin in a union of intervals; sets of bits flip where one begins or ends."""
+    lanes = -(-len(vocabulary) // 63) or 1
+    for lists in (b.column(0).slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+        ends = np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)
+        term = pc.fill_null(pc.index_in(lists.flatten(), pa.array(vocabulary, lists.type.value_type)), -1).to_numpy(zero_copy_only=False)
+        base = np.r_[0, ends[:-1]]
+        last = np.maximum(ends - base - size + 1, 1)  # windows of each list
+        at = np.flatnonzero(term >= 0)
+        doc, term = np.searchsorted(ends, at, "right"), term[at].astype(np.int64)
+        order = np.lexsort((at, term, doc))
+        at, doc, term = at[order], doc[order], term[order]
+        begin, end = np.maximum(at - size + 1, base[doc]), np.minimum(at + 1, base[doc] + last[doc])
+        # Intervals of one word in one list that touch are one; in order of places, so are their ends.
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]) | (begin[1:] > end[:-1])][: len(at)]
+        first = np.flatnonzero(new)
+        final = np.r_[first[1:], len(at)] - 1 if len(at) else first
+        place = np.r_[base, begin[first], end[final]]
+        flips = np.zeros((len(place), lanes), np.int64)
+        word = np.tile(term[first], 2)
+        flips[np.arange(len(base), len(place)), word // 63] = np.int64(1) << (word % 63)
+        owner = np.r_[np.arange(len(base)), np.tile(doc[first], 2)]
+        order = np.lexsort((place, owner))
+        place, owner = place[order], owner[order]
+        state = np.bitwise_xor.accumulate(flips[order], axis=0)
+        length = np.r_[np.where(owner[1:] == owner[:-1], place[1:], base[owner[:-1]] + last[owner[:-1]]), base[owner[-1:]] + last[owner[-1:]]] - place
+        state, length = state[length > 0], length[length > 0]
+        sets, which = np.unique(state, axis=0, return_inverse=True)
+        counts = np.bincount(which.reshape(-1), weights=length, minlength=len(sets)).astype(np.int64)
+        terms = [sorted(w for i, w in enumerate(vocabulary) if int(x[i // 63]) >> (i % 63) & 1) for x in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.string())), pa.array(counts)], ["terms", "n"])
+
+
 def _windows(docs: DataFrame, vocabulary: list[str], size: int | None, key: str, text: str) -> DataFrame:
-    """Rows (terms, n): the vocabulary words of a window of ``size`` tokens, and for how many windows of a document they
-    are the same; whole documents where ``size`` is None. Windows change only where a vocabulary word enters or leaves."""
-    known = F.array(*map(F.lit, vocabulary))
+    """Rows (terms, n): the vocabulary words of a window of ``size`` tokens, and for how many windows of some documents they
+    are the same; whole documents where ``size`` is None. The work grows with the tokens, not with tokens times words."""
     words = docs.select(tokens(F.col(text)).alias("w")).filter(F.size("w") > 0)
     if size is None:
-        return words.select(F.array_sort(F.array_intersect("w", known)).alias("terms"), F.lit(1).cast("long").alias("n"))
-    placed = words.select(F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.array_contains(known, s.x)).alias("hits"), F.greatest(F.size("w") - size + 1, F.lit(1)).alias("last"))
-    # A word at place i is in the windows that begin at i - size + 1 to i; these begin anew at either end.
-    starts = F.flatten(F.transform("hits", lambda h: F.array(F.greatest(h.i - size + 1, F.lit(0)), h.i + 1)))
-    cuts = F.array_sort(F.array_distinct(F.filter(F.concat(F.array(F.lit(0)), starts), lambda c: c < F.col("last"))))
-    runs = placed.select("hits", "last", cuts.alias("cuts")).select("hits", F.posexplode("cuts").alias("at", "start"), F.col("cuts"), "last")
-    end = F.coalesce(F.get("cuts", F.col("at") + 1), F.col("last"))
-    inside = F.filter("hits", lambda h: (h.i >= F.col("start")) & (h.i < F.col("start") + size))
-    return runs.select(F.array_sort(F.array_distinct(F.transform(inside, lambda h: h.x))).alias("terms"), (end - F.col("start")).cast("long").alias("n"))
+        return words.select(F.array_sort(F.array_intersect("w", F.array(*map(F.lit, vocabulary)))).alias("terms"), F.lit(1).cast("long").alias("n"))
+    expose_package(docs.sparkSession)
+    return words.mapInArrow(partial(_terms_of_windows, vocabulary=sorted(set(vocabulary)), size=size), "terms array<string>, n long")
 
 
 def _pairs_within(terms: str) -> Column:

@@ -1,4 +1,5 @@
 import json
+import time
 import zipfile
 
 import numpy as np
@@ -150,6 +151,22 @@ def test_windows_by_brute_force(spark):
         assert got == want
 
 
+def test_windows_of_long_texts_and_many_words(spark):
+    """Time grows with the tokens: every other token of a long text is one of 130 words."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(130)]
+    w = [f"w{i}" for i in rng.integers(0, 260, 60_000)]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:9])), (3, ""), (4, "w3")], "pmid long, text string")
+    known, want = set(vocabulary), {}
+    for x in (w, w[:9], ["w3"]):
+        for i in range(max(1, len(x) - 9)):
+            key = tuple(sorted(known & set(x[i : i + 10])))
+            want[key] = want.get(key, 0) + 1
+    begun = time.time()
+    got = {tuple(r.terms): r.n for r in topics._windows(df, vocabulary, 10, "pmid", "text").groupBy("terms").agg(F.sum("n").alias("n")).collect()}
+    assert got == want and time.time() - begun < 60
+
+
 def test_automatic_reduction():
     centres = np.array([[1.0, 0.0], [0.99, 0.05], [0.0, 1.0]])
     labels, left = topics._merged(np.array([0, 0, 1, 2, 2, -1]), centres, 1, topics.NEAR_TOPICS)
