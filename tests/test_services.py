@@ -187,6 +187,20 @@ def test_workbook(spark, tmp_path):
         workbooks.read_sheet(spark, path, ["pmid"])
 
 
+def test_workbooks_of_a_long_sheet(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbooks, "MOST_ROWS", 3)
+    sample = spark.createDataFrame([(i, None if i == 4 else f"t{i}\nx", "a") for i in range(8)], "pmid long, title string, abstract string")
+    path = str(tmp_path / "s.xlsx")
+    assert workbooks.write_sheet(labels.sheet(sample, "r1"), path) == 8 and len(list(tmp_path.iterdir())) == 3
+    got = {(r.pmid, r.title) for r in workbooks.read_sheet(spark, path).collect()}
+    assert got == {(str(i), None if i == 4 else f"t{i}\nx") for i in range(8)}
+    assert [r[0] for r in workbooks._body(str(tmp_path / "s.part2.xlsx"), workbooks.HEADER)] == ["3", "4", "5"]
+    with pytest.raises(ValueError, match="expected the columns"):
+        workbooks.read_sheet(spark, path, ["pmid"])
+    assert workbooks.write_sheet(labels.sheet(sample.limit(2), "r1"), path) == 2 and len(list(tmp_path.iterdir())) == 1
+    assert workbooks.read_sheet(spark, path).count() == 2
+
+
 def test_shared_strings_and_blank_rows(spark, tmp_path):
     ns = f'xmlns="{workbooks.MAIN}"'
     sheet = f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>b</t></is></c></row><row r="2"/><row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3" t="b"><v>1</v></c></row><row r="4"><c r="A4"><v>7</v></c></row></sheetData></worksheet>'
