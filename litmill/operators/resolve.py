@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from litmill.functions.text import compatible, first_initial, heuristic_id, last_name, short_hash
 from litmill.operators.dedup import first_per_key
-from litmill.session import expose_package
+from litmill.session import expose_package, written
 
 #: The salt of heuristic author ids; an existing corpus keeps its ids by passing its own.
 SALT = "authors_v1"
@@ -35,6 +35,20 @@ def signals(staging: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, F.col("v").alias("signal"))
 
 
+#: Names whose signals are broadcast; beyond it they are joined by name and one of so many parts of the rows.
+BROADCAST_NAMES, PARTS = 20_000, 64
+
+
+def with_signals(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the signal of their keys. However many rows have one name, no task gets them all: few signals go to every
+    task, many are repeated for each part into which a name's rows are dealt."""
+    if found.count() <= BROADCAST_NAMES:
+        return rows.join(F.broadcast(found), keys, "left")
+    parted = found.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("pmid", "author_position"), F.lit(PARTS)))
+    return dealt.join(parted, [*keys, "_part"], "left").drop("_part")
+
+
 def canonical_id(orcid: Column, own_id: Column, last: Column, initial: Column, signal: Column, salt: str = SALT) -> Column:
     return F.when(orcid != "", F.concat(F.lit("ORCID:"), orcid)).when(own_id != "", F.concat(F.lit("OA:"), own_id)).otherwise(heuristic_id(salt, last, initial, signal))
 
@@ -47,7 +61,7 @@ def authors(staging: DataFrame, salt: str = SALT) -> DataFrame:
     rows = staging.withColumn("oa", trimmed("author_oa_id")).withColumn("orcid", trimmed("author_orcid"))
     rows = rows.withColumn("last", last_name(F.col("author_display_name"))).withColumn("initial", first_initial(F.col("author_display_name")))
     unknown = rows.filter("oa = '' AND orcid = ''")
-    joined = position_flags(rows).join(signals(unknown, ["last", "initial"]), ["last", "initial"], "left")
+    joined = with_signals(position_flags(rows), written(signals(unknown, ["last", "initial"]), "signals"), ["last", "initial"])
     method = F.when(F.col("orcid") != "", "orcid").when(F.col("oa") != "", "openalex").otherwise("heuristic")
     return joined.select(
         "pmid", F.coalesce("author_position", F.lit(0)).alias("author_position"), trimmed("author_position_label").alias("author_position_label"), F.col("oa").alias("author_oa_id"),

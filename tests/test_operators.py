@@ -163,6 +163,26 @@ def test_authors(spark):
     assert got["1", 0].is_first and got["1", 2].is_last and not got["1", 1].is_first and got["2", 5].is_last and got["2", 0].is_first
 
 
+def test_authors_of_one_name(spark, monkeypatch):
+    """Rows of one name are not gathered in one task, however many names there are."""
+    rows = [(str(i), i % 3, "", "" if i % 2 else f"A{i}", "", "Jane Doe", [(f"I{i % 5 % 4}", "", "n", "DE", "t")], []) for i in range(400)]
+    staging = spark.createDataFrame(rows, schema("staging"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = resolve.authors(staging)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        few = sorted(map(tuple, found.collect()))
+        monkeypatch.setattr(resolve, "BROADCAST_NAMES", 0)
+        found = resolve.authors(staging)
+        largest = found.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        assert sorted(map(tuple, found.collect())) == few and largest < 150
+    finally:
+        for k, v in (("spark.sql.autoBroadcastJoinThreshold", "10m"), ("spark.sql.adaptive.enabled", "true"), ("spark.sql.shuffle.partitions", "4")):
+            spark.conf.set(k, v)
+
+
 def test_institutions(spark):
     inst = lambda oa, ror, name: (oa, ror, name, "DE", "edu")
     rows = [("1", 0, "", "", "", "A", [inst("I1", "r1", "One"), inst("", "r2", "Two"), inst("", "", "Three"), inst("", "", "")], []), ("1", 1, "", "", "", "B", [], [" Clinic X ", "Y"]), ("2", 0, "", "", "", "C", [inst("I1", "", "Uno")], []), ("3", 0, "", "", "", "D", [], ["Unknown"])]
