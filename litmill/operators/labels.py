@@ -109,15 +109,31 @@ def hashed_sample(df: DataFrame, cells: list[str], key: str, n: int, seed: str =
 def rarest_labels(pairs: DataFrame, key: str = "pmid", label: str = "mesh", most: int = 25, least: int = 5, rows: int = 20) -> tuple[int, DataFrame]:
     """(number of labels, each key's rarest one of them, ties by name) for the largest number of top labels, from
     ``most`` down, for which every label has ``rows`` keys; ValueError below ``least``."""
-    counts = pairs.groupBy(label).agg(F.countDistinct(key).alias("n")).orderBy(F.desc("n"), label).limit(most).collect()
+    return rarest_of_sets(pairs.groupBy(key).agg(F.collect_set(label).alias("_labels")), F.col("_labels"), key, label, most, least, rows)
+
+
+def merged_sets(rows: DataFrame, items: Column, key: str, name: str = "_labels") -> DataFrame:
+    """Rows (key, different items) with unique keys. Only rows whose key isn't unique are shuffled."""
+    several = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
+    sets = rows.select(key, F.array_distinct(items).alias(name))
+    if several.isEmpty():
+        return sets
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    many = sets.join(several, same, "left_semi").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(name))).alias(name))
+    return sets.join(several, same, "left_anti").union(many)
+
+
+def rarest_of_sets(rows: DataFrame, labels: Column, key: str = "pmid", label: str = "mesh", most: int = 25, least: int = 5, rows_each: int = 20) -> tuple[int, DataFrame]:
+    """``rarest_labels`` of rows with an array of different labels and a unique key: counts alone are shuffled, and each row's
+    label is picked from its own array."""
+    counts = rows.select(F.explode(labels).alias(label)).groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(most).collect()
     for k in range(min(most, len(counts)), least - 1, -1):
-        top = pairs.sparkSession.createDataFrame([(r[label], r.n) for r in counts[:k]], f"{label} string, n long")
-        nth = F.row_number().over(Window.partitionBy(key).orderBy("n", label))
-        chosen = pairs.join(F.broadcast(top), label).withColumn("_nth", nth).filter("_nth = 1").select(key, label)
-        sizes = {r[label]: r["count"] for r in chosen.groupBy(label).count().collect()}
-        if min(sizes.get(r[label], 0) for r in counts[:k]) >= rows:
+        top = [r[label] for r in sorted(counts[:k], key=lambda r: (r.n, r[label]))]
+        chosen = rows.select(key, F.explode(F.slice(F.array_intersect(F.array(*map(F.lit, top)), labels), 1, 1)).alias(label))
+        sizes = {r[label]: r["count"] for r in chosen.groupBy(label).count().collect()} if rows_each > 0 else {}
+        if min(sizes.get(r[label], 0) for r in counts[:k]) >= rows_each:
             return k, chosen
-    raise ValueError(f"no {least} labels have {rows} rows each")
+    raise ValueError(f"no {least} labels have {rows_each} rows each")
 
 
 # Sheets

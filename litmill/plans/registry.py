@@ -187,7 +187,8 @@ def q_mesh_having_ratio(spark, d):
 @query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS_SQL}) AS term FROM documents), f AS (SELECT term, count(*) AS n FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25)
 SELECT doc_id, term FROM w JOIN f USING (term) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n, term) = 1""")
 def q_rarest_label(spark, d):
-    return labels.rarest_labels(topics.terms(t(spark, d, "documents"), "doc_id", stop_words=[]).distinct(), "doc_id", "term", rows=0)[1].select("doc_id", "term")
+    docs = labels.merged_sets(t(spark, d, "documents"), topics.term_list("text", stop_words=[]), "doc_id", "terms")
+    return labels.rarest_of_sets(docs, F.col("terms"), "doc_id", "term", rows_each=0)[1]
 
 
 @query(f"SELECT doc_id, len(list_filter({TOKENS_SQL}, lambda x: x NOT IN {STOP_SQL})) AS n_tokens, array_to_string(list_filter({TOKENS_SQL}, lambda x: x NOT IN {STOP_SQL})[1:5], ' ') AS first_five FROM documents")

@@ -151,6 +151,18 @@ def test_rarest(spark):
         labels.rarest_labels(pairs, rows=1000)
 
 
+def test_rarest_of_sets(spark):
+    """Rows of one key count once; nothing but counts is shuffled, and nothing at all for the choice."""
+    rows = [(1, "aa bb bb cc"), (1, "aa dd"), (2, "aa bb"), (3, "bb aa"), (4, None), (5, "zz"), (None, "cc aa"), (None, "bb"), (6, "ee aa dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = labels.merged_sets(docs, topics.term_list("text", stop_words=[]), "doc_id", "terms")
+    k, chosen = labels.rarest_of_sets(sets, F.col("terms"), "doc_id", "term", most=4, least=1, rows_each=0)
+    assert k == 4 and {(r.doc_id, r.term) for r in chosen.collect()} == {(1, "cc"), (2, "bb"), (3, "bb"), (None, "cc"), (6, "dd")}
+    alone = docs.filter("doc_id > 1")
+    chosen = labels.rarest_of_sets(labels.merged_sets(alone, topics.term_list("text", stop_words=[]), "doc_id", "terms"), F.col("terms"), "doc_id", "term", least=1, rows_each=0)[1]
+    assert "Exchange" not in chosen._jdf.queryExecution().executedPlan().toString() and chosen.count() == 4
+
+
 def test_authors(spark):
     inst = lambda oa, cc: (oa, "", "n", cc, "t")
     rows = [
