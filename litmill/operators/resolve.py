@@ -14,10 +14,16 @@ from litmill.session import expose_package, written
 SALT = "authors_v1"
 
 
+#: Rows of a task of the window over papers.
+TASK_ROWS = 500_000
+
+
 def position_flags(rows: DataFrame, key: str = "pmid", position: str = "author_position", label: str = "author_position_label") -> DataFrame:
     """Adds is_first and is_last: by the label in any case where there is one, else by the least and the largest
-    position of the paper."""
+    position of the paper. Rows are counted first: more of them make more tasks, not larger ones."""
     w = Window.partitionBy(key)
+    tasks = -(-rows.count() // TASK_ROWS)
+    rows = rows.repartition(tasks, key) if tasks > 1 else rows
     text = F.lower(F.trim(F.coalesce(F.col(label), F.lit(""))))
     at = F.coalesce(F.col(position), F.lit(0))
     return rows.withColumn("is_first", F.when(text != "", text == "first").otherwise(at == F.min(at).over(w))).withColumn("is_last", F.when(text != "", text == "last").otherwise(at == F.max(at).over(w)))

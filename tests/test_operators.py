@@ -175,6 +175,16 @@ def test_authors(spark):
     assert got["1", 0].is_first and got["1", 2].is_last and not got["1", 1].is_first and got["2", 5].is_last and got["2", 0].is_first
 
 
+def test_position_flags_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "TASK_ROWS", 100)
+    rows = spark.range(5000).selectExpr("CAST(id % 900 AS STRING) AS pmid", "CAST(id % 7 AS INT) AS author_position", "'' AS author_position_label")
+    flags = resolve.position_flags(rows)
+    sizes = [r["count"] for r in flags.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 300 and sum(sizes) == 5000
+    ends = rows.groupBy("pmid").agg(F.min("author_position").alias("lo"), F.max("author_position").alias("hi"))
+    assert flags.join(ends, "pmid").filter("is_first <> (author_position = lo) OR is_last <> (author_position = hi)").count() == 0
+
+
 def test_authors_of_one_name(spark, monkeypatch):
     """Rows of one name are not gathered in one task, however many names there are."""
     rows = [(str(i), i % 3, "", "" if i % 2 else f"A{i}", "", "Jane Doe", [(f"I{i % 5 % 4}", "", "n", "DE", "t")], []) for i in range(400)]
